@@ -48,6 +48,7 @@ ROUNDS = 3
 CACHE = 400_000
 
 _SPACE, _DROP = 0x20, 0
+EDGE = b"\x40"  # letter class 0: where a word begins or ends
 
 
 def _letter_table() -> np.ndarray:
@@ -249,7 +250,8 @@ class Scorer:
 
 
 def windows(word: bytes) -> list[bytes]:
-    """A word, or its windows of LONGEST letters, half overlapping, if it is longer."""
+    """A word between boundary marks, or its windows of LONGEST letters, half overlapping."""
+    word = EDGE + word + EDGE
     if len(word) <= LONGEST:
         return [word]
     starts = range(0, len(word) - LONGEST // 2, LONGEST // 2)
@@ -261,6 +263,7 @@ def train(sentences: list[tuple[int, int, str]], seed: int = 11) -> Model | None
     if not sentences:
         return None
     rng = np.random.default_rng(seed)
+    sentences = _distinct_documents(sentences)
     words = letters([s for _, _, s in sentences])
     hashes, first, back = np.unique(words.hashes(), return_index=True, return_inverse=True)
     spelled = [words.data[s:e].tobytes() for s, e in zip(words.starts[first], words.ends[first])]
@@ -271,22 +274,25 @@ def train(sentences: list[tuple[int, int, str]], seed: int = 11) -> Model | None
     toxic_n, clean_n = (len(np.unique(doc_of[label_of == t])) for t in (1, 0))
     if not toxic_n or not clean_n:
         return None
-    pairs = np.unique(np.stack([label, doc, back], axis=1), axis=0)
-    signs, owner = _pieces(spelled)
-    found = _significant(pairs, signs, owner, toxic_n / (toxic_n + clean_n))
+    codes, owner = _pieces(spelled)
+    known, sign = np.unique(codes, return_inverse=True)
+    in_toxic, in_clean_docs = (np.unique(doc[label == t] * len(spelled) + back[label == t]) for t in (1, 0))
+    found = _significant(in_toxic, in_clean_docs, sign, owner, len(known), len(spelled), toxic_n / (toxic_n + clean_n))
     if not len(found):
         return None
     in_clean = np.zeros(len(spelled), dtype=bool)
-    in_clean[pairs[pairs[:, 0] == 0, 2]] = True
+    in_clean[in_clean_docs % len(spelled)] = True
     marked = np.zeros(len(spelled), dtype=bool)
-    marked[owner[np.isin(signs, found)]] = True
+    telling = np.zeros(len(known), dtype=bool)
+    telling[found] = True
+    marked[owner[telling[sign]]] = True
 
-    clean_words = [p for w in np.flatnonzero(in_clean) for p in windows(spelled[w]) if len(p) >= 3]
+    clean_words = [p for w in np.flatnonzero(in_clean) for p in windows(spelled[w])]
     toxic_only = np.flatnonzero(~in_clean)
-    sure = [p for w in toxic_only if marked[w] for p in windows(spelled[w]) if len(p) >= 3]
+    sure = [p for w in toxic_only if marked[w] for p in windows(spelled[w])]
     if not sure:
         return None
-    landmarks = _landmarks(pairs, signs, owner, found, spelled, LANDMARKS * 3 // 4)
+    landmarks = _landmarks(in_toxic, sign, owner, telling, known, len(spelled), LANDMARKS * 3 // 4)
     landmarks += [clean_words[i] for i in rng.permutation(len(clean_words))[: LANDMARKS - len(landmarks)]]
     table = _embed(landmarks)
     gram = kernel(landmarks, table)
@@ -296,7 +302,7 @@ def train(sentences: list[tuple[int, int, str]], seed: int = 11) -> Model | None
 
     pick = lambda items, most: [items[i] for i in sorted(rng.permutation(len(items))[:most])]
     positive, negative = pick(sure, 800), pick(clean_words, 3000)
-    other = [p for w in toxic_only if not marked[w] for p in windows(spelled[w]) if len(p) >= 3]
+    other = [p for w in toxic_only if not marked[w] for p in windows(spelled[w])]
     model = None
     for turn in range(ROUNDS):
         bent = [_insert(w, rng) for w in positive]
@@ -318,9 +324,10 @@ def train(sentences: list[tuple[int, int, str]], seed: int = 11) -> Model | None
 
 
 def _pieces(spelled: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, word) of each word's distinct substrings of 4 to 6 letters, and of whole words of 3 or more."""
-    data = np.frombuffer(b" ".join([*spelled, b""]), np.uint8)
-    lengths = np.array([len(w) for w in spelled])
+    """(code, word) of each word's distinct substrings of 4 to 6 letters, boundary marks
+    included, and of whole words of 5 to 7 letters."""
+    data = np.frombuffer(b" ".join([*(EDGE + w + EDGE for w in spelled), b""]), np.uint8)
+    lengths = np.array([len(w) + 2 for w in spelled])
     starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
     signs, owner = [], []
     for n in (4, 5, 6):
@@ -332,52 +339,65 @@ def _pieces(spelled: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             value = value << np.uint64(7) | data[at + i].astype(np.uint64)
         signs.append(value)
         owner.append(word)
-    whole = np.flatnonzero(lengths == 3)
-    value = np.zeros(len(whole), np.uint64)
-    for i in range(3):
-        value = value << np.uint64(7) | data[starts[whole] + i].astype(np.uint64)
-    both = np.unique(np.stack([np.concatenate([*signs, value]), np.concatenate([*owner, whole]).astype(np.uint64)], axis=1), axis=0)
-    return both[:, 0].copy(), both[:, 1].astype(np.int64)
+    for n in (7, 8, 9):
+        whole = np.flatnonzero(lengths == n)
+        value = np.zeros(len(whole), np.uint64)
+        for i in range(n):
+            value = value << np.uint64(7) | data[starts[whole] + i].astype(np.uint64)
+        signs.append(value)
+        owner.append(whole)
+    return np.concatenate(signs), np.concatenate(owner)
+
+
+def _distinct_documents(sentences: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Sentences of the documents most of whose sentences no earlier document has: a
+    group of copies would make every word of theirs look telling."""
+    by: dict[int, list[tuple[int, int, str]]] = {}
+    for row in sentences:
+        by.setdefault(row[0], []).append(row)
+    seen: set[str] = set()
+    out = []
+    for rows in by.values():
+        own = {s for _, _, s in rows}
+        if len(own & seen) * 3 <= len(own):
+            out += rows
+        seen |= own
+    return out
 
 
-def _documents_with(pairs: np.ndarray, signs: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sign, document) pairs, distinct, for (label, document, word) rows."""
+def _documents_with(doc_words: np.ndarray, sign: np.ndarray, owner: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (substring, document) pairs; doc_words holds document x n_words + word."""
     order = np.argsort(owner, kind="stable")
-    signs, owner = signs[order], owner[order]
-    n_words = int(max(owner.max(initial=-1), pairs[:, 2].max(initial=-1))) + 1
+    sign, owner = sign[order], owner[order]
     bounds = np.searchsorted(owner, np.arange(n_words + 1))
-    n = bounds[pairs[:, 2] + 1] - bounds[pairs[:, 2]]
-    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(bounds[pairs[:, 2]], n)
-    both = np.unique(np.stack([signs[at], np.repeat(pairs[:, 1], n).astype(np.uint64)], axis=1), axis=0)
-    return both[:, 0], both[:, 1].astype(np.int64)
+    doc, word = np.divmod(doc_words, n_words)
+    n = bounds[word + 1] - bounds[word]
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(bounds[word], n)
+    docs = int(doc.max(initial=0)) + 1
+    return np.divmod(np.unique(sign[at] * docs + np.repeat(doc, n)), docs)
 
 
-def _significant(pairs: np.ndarray, signs: np.ndarray, owner: np.ndarray, share: float) -> np.ndarray:
+def _significant(in_toxic, in_clean, sign, owner, signs: int, n_words: int, share: float) -> np.ndarray:
     """Substrings of toxic documents that clean ones (all but) lack, at a false
     discovery rate of 5 %: chance gives share^n of the substrings of n documents."""
-    toxic, _ = _documents_with(pairs[pairs[:, 0] == 1], signs, owner)
-    sign, t = np.unique(toxic, return_counts=True)
-    keep = t >= 2
-    sign, t = sign[keep], t[keep]
-    near = np.isin(signs, sign)
-    clean, _ = _documents_with(pairs[pairs[:, 0] == 0], signs[near], owner[near])
-    c = np.zeros(len(sign), np.int64)
-    at, n = np.unique(clean, return_counts=True)
-    c[np.searchsorted(sign, at)] = n
-    apart = c * 50 <= t
+    t = np.bincount(_documents_with(in_toxic, sign, owner, n_words)[0], minlength=signs)
+    near = t[sign] >= 2
+    c = np.bincount(_documents_with(in_clean, sign[near], owner[near], n_words)[0], minlength=signs)
+    apart = (c * 50 <= t) & (t >= 2)
+    tried = t >= 2
     for least in range(2, int(t.max(initial=1)) + 1):
         taken = apart & (t >= least)
-        chance = (share ** (t + c)[(t + c) >= least]).sum()
+        chance = (share ** (t + c)[tried & (t + c >= least)]).sum()
         if taken.any() and chance / taken.sum() < 0.05:
-            return sign[taken]
-    return np.zeros(0, np.uint64)
+            return np.flatnonzero(taken)
+    return np.zeros(0, np.int64)
 
 
-def _landmarks(pairs, signs, owner, found, spelled, most) -> list[bytes]:
+def _landmarks(in_toxic, sign, owner, telling, known, n_words: int, most: int) -> list[bytes]:
     """Greedy cover: the substring found in most toxic documents not yet covered three times."""
-    near = np.isin(signs, found)
-    sign, doc = _documents_with(pairs[pairs[:, 0] == 1], signs[near], owner[near])
-    index = np.searchsorted(found, sign)
+    near = telling[sign]
+    at, doc = _documents_with(in_toxic, sign[near], owner[near], n_words)
+    found, index = np.unique(at, return_inverse=True)
     weight = np.ones(int(doc.max(initial=0)) + 1)
     left = np.ones(len(found), dtype=bool)
     chosen: list[bytes] = []
@@ -388,7 +408,7 @@ def _landmarks(pairs, signs, owner, found, spelled, most) -> list[bytes]:
             break
         left[best] = False
         weight[doc[index == best]] /= 3
-        chosen.append(_spell(int(found[best])))
+        chosen.append(_spell(int(known[found[best]])))
     return chosen
 
 
