@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgeloom.llm import ann, embdup, mixing, neardup, packing, substring, toxicity, urlfilter, warc
+from edgeloom.llm import ann, embdup, lmscore, mixing, neardup, packing, substring, toxicity, urlfilter, warc
 from edgeloom.llm.common import read
 
 URL_RULES = [
@@ -28,6 +28,10 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embdup.embedding_links(read(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score_documents(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "log10_score")
+
+
 def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read(spark, sf_dir, "embeddings"), every=50, k=5)
 
@@ -61,6 +65,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_embedding_dedup": op2_embedding_dedup,
+    "op3_lm_scores": op3_lm_scores,
     "op4_nearest": op4_nearest,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_toxicity": op6_toxicity,
@@ -161,6 +166,32 @@ WITH RECURSIVE v AS (
 )
 SELECT v.vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, component_id = v.vec_id AS kept
 FROM v JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)
+""",
+    "op3_lm_scores": r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), t AS (
+  SELECT doc_id, i, ws[i] AS w3, CASE WHEN i > 1 THEN ws[i - 1] END AS w2, CASE WHEN i > 2 THEN ws[i - 2] END AS w1, len(ws) AS n
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w)
+), n AS (
+  SELECT count(*) AS total FROM t
+), c AS (
+  SELECT *, count(*) OVER (PARTITION BY w3) - count(*) OVER (PARTITION BY w3, doc_id) AS c1,
+         count(*) OVER (PARTITION BY w2, w3) - count(*) OVER (PARTITION BY w2, w3, doc_id) AS c2,
+         count(*) OVER (PARTITION BY w1, w2, w3) - count(*) OVER (PARTITION BY w1, w2, w3, doc_id) AS c3
+  FROM t
+), h AS (
+  SELECT *, lag(c1) OVER (PARTITION BY doc_id ORDER BY i) AS h1, lag(c2) OVER (PARTITION BY doc_id ORDER BY i) AS h2 FROM c
+), s AS (
+  SELECT doc_id, CASE
+    WHEN i > 2 AND c3 > 0 THEN log10(c3 / h2::DOUBLE)
+    WHEN i > 1 AND c2 > 0 THEN log10(c2 / h1::DOUBLE) + CASE WHEN i > 2 THEN log10(0.4::DOUBLE) ELSE 0 END
+    ELSE log10(greatest(c1, 1) / greatest(total - n, 1)::DOUBLE) + CASE WHEN i > 1 THEN log10(0.4::DOUBLE) ELSE 0 END + CASE WHEN i > 2 THEN log10(0.4::DOUBLE) ELSE 0 END
+  END AS s FROM h, n
+), d AS (
+  SELECT doc_id, sum(round_even(s * 1e6, 0)::BIGINT)::BIGINT AS m FROM s GROUP BY doc_id
+)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, round(m / 1e6, 3) AS log10_score FROM w LEFT JOIN d USING (doc_id)
 """,
     "op4_nearest": """
 WITH v AS (
