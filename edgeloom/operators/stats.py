@@ -66,11 +66,11 @@ def _hommel(df: DataFrame, p: str, out: str) -> DataFrame:
             a[top] = np.maximum(a[top], least)
             low = np.arange(n - m)
             a[low] = np.maximum(a[low], np.minimum(least, m * values[order][low]))
-        pdf[out] = np.empty(n)
-        pdf.loc[pdf.index[order], out] = np.minimum(a, 1.0)
-        return pdf
+        back = np.empty(n)
+        back[order] = np.minimum(a, 1.0)
+        return pdf.drop(columns="_all").assign(**{out: back})
 
-    return df.groupBy(F.lit(0)).applyInPandas(run, schema)
+    return df.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(run, schema)
 
 
 def mann_whitney(df: DataFrame, by: list[str], contrast: str, reference: str, metric: str) -> DataFrame:

@@ -28,14 +28,17 @@ def run_tasks(edges: DataFrame, tasks: list[ComponentTask]) -> dict[str, DataFra
     keys = keys_of(edges)
     out = {}
     for task in tasks:
-
-        def per(key: tuple, pdf: pd.DataFrame, task=task) -> pd.DataFrame:
-            rows = task.run(pdf.drop(columns=keys)).copy()
-            for k, v in reversed(list(zip(keys, key))):
-                rows.insert(0, k, v)
-            return rows
-
         schema = ", ".join([*(f"{k} string" for k in keys), task.schema])
-        found = edges.select(*keys, *task.columns).groupBy(*keys).applyInPandas(per, schema)
+        found = edges.select(*keys, *task.columns).groupBy(*keys).applyInPandas(_per_component(task, keys), schema)
         out[task.name] = task.finish(found) if task.finish else found
     return out
+
+
+def _per_component(task: ComponentTask, keys: list[str]):
+    def per(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = task.run(pdf.drop(columns=keys)).copy()
+        for k, v in reversed(list(zip(keys, key))):
+            rows.insert(0, k, v)
+        return rows
+
+    return per
