@@ -40,11 +40,11 @@ from edgeloom.llm.common import PIECE_BYTES, Words
 
 DECAY = 0.5
 LONGEST = 24  # longer words are read in windows of this many letters, half overlapping
-LANDMARKS = 64
-TOXIC_DOCS = 2000
-CLEAN_DOCS = 4000
+LANDMARKS = 160
+TOXIC_DOCS = 1200
+CLEAN_DOCS = 2400
 SENTENCES = 300
-ROUNDS = 3
+ROUNDS = 4
 CACHE = 400_000
 
 _SPACE, _DROP = 0x20, 0
@@ -133,10 +133,24 @@ def self_kernel(m: np.ndarray, decay: float = DECAY) -> np.ndarray:
     return total
 
 
-def _subsequences(m: np.ndarray, table: np.ndarray, decay: float = DECAY) -> np.ndarray:
+class Table:
+    """Values by subsequence code; codes without a value share one row of zeros."""
+
+    def __init__(self, rows: np.ndarray, index: np.ndarray | None = None):
+        self.rows, self.index = rows, index
+
+    def __getitem__(self, codes: np.ndarray) -> np.ndarray:
+        return self.rows[codes] if self.index is None else self.rows[self.index[codes]]
+
+    def fold(self, weights: np.ndarray) -> Table:
+        """One weighted sum of the columns for each of the 64^3 codes."""
+        return Table((self.rows @ weights)[self.index])
+
+
+def _subsequences(m: np.ndarray, table: Table, decay: float = DECAY) -> np.ndarray:
     """Sum over each row's three-letter subsequences of decay^span x table[code]."""
     n, length = m.shape
-    out = np.zeros((n, *table.shape[1:]), dtype=np.float64)
+    out = np.zeros((n, *table.rows.shape[1:]), dtype=np.float64)
     for i in range(length - 2):
         first = m[:, i] << 12
         for k in range(i + 2, length):
@@ -148,22 +162,32 @@ def _subsequences(m: np.ndarray, table: np.ndarray, decay: float = DECAY) -> np.
     return out
 
 
-def _embed(words: list[bytes]) -> np.ndarray:
-    """(64^3, words) table of unit-length subsequence features."""
-    table = np.zeros((64**3, len(words)), dtype=np.float32)
-    for column, w in enumerate(words):
+def _embed(words: list[bytes]) -> Table:
+    """Unit-length subsequence features of words, one column each."""
+    features: list[dict[int, float]] = []
+    for w in words:
         m = np.frombuffer(w, np.uint8).astype(np.int64) - 0x40
+        own: dict[int, float] = {}
         for i in range(len(m)):
             for j in range(i + 1, len(m)):
                 for k in range(j + 1, len(m)):
-                    table[m[i] << 12 | m[j] << 6 | m[k], column] += DECAY ** (k - i + 1)
-    norm = np.linalg.norm(table, axis=0)
-    return table / np.where(norm > 0, norm, 1)
-
-
-def kernel(words: list[bytes], table: np.ndarray) -> np.ndarray:
+                    code = int(m[i] << 12 | m[j] << 6 | m[k])
+                    own[code] = own.get(code, 0.0) + DECAY ** (k - i + 1)
+        features.append(own)
+    codes = sorted({c for own in features for c in own})
+    index = np.zeros(64**3, np.int32)
+    index[codes] = np.arange(1, len(codes) + 1)
+    rows = np.zeros((len(codes) + 1, len(words)))
+    for column, own in enumerate(features):
+        norm = np.sqrt(sum(v * v for v in own.values()))
+        for c, v in own.items():
+            rows[index[c], column] = v / norm
+    return Table(rows, index)
+
+
+def kernel(words: list[bytes], table: Table) -> np.ndarray:
     """Normalised kernel of words (3 to LONGEST letters) with the columns of ``_embed``; others 0."""
-    out = np.zeros((len(words), *table.shape[1:]))
+    out = np.zeros((len(words), *table.rows.shape[1:]))
     for length, (index, m) in _rows(words).items():
         if 3 <= length <= LONGEST:
             for lo in range(0, len(index), 2048):
@@ -195,7 +219,7 @@ def train_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int = 30,
 class Model:
     """Subsequence weights with bias, and the logistic curve's slope and offset."""
 
-    table: np.ndarray
+    table: Table
     bias: float
     slope: float
     offset: float
@@ -264,20 +288,16 @@ def train(sentences: list[tuple[int, int, str]], seed: int = 11) -> Model | None
         return None
     rng = np.random.default_rng(seed)
     sentences = _distinct_documents(sentences)
-    words = letters([s for _, _, s in sentences])
-    hashes, first, back = np.unique(words.hashes(), return_index=True, return_inverse=True)
-    spelled = [words.data[s:e].tobytes() for s, e in zip(words.starts[first], words.ends[first])]
+    back, spelled, sentence = _vocabulary([s for _, _, s in sentences])
     label_of = np.array([t for _, t, _ in sentences])
     names, doc_of = np.unique([d for d, _, _ in sentences], return_inverse=True)
-    sentence = words.doc_of()
     doc, label = doc_of[sentence], label_of[sentence]
     toxic_n, clean_n = (len(np.unique(doc_of[label_of == t])) for t in (1, 0))
     if not toxic_n or not clean_n:
         return None
-    codes, owner = _pieces(spelled)
-    known, sign = np.unique(codes, return_inverse=True)
     in_toxic, in_clean_docs = (np.unique(doc[label == t] * len(spelled) + back[label == t]) for t in (1, 0))
-    found = _significant(in_toxic, in_clean_docs, sign, owner, len(known), len(spelled), toxic_n / (toxic_n + clean_n))
+    known, sign, owner = _known_pieces(spelled, np.unique(in_toxic % len(spelled)))
+    found = _significant(in_toxic, in_clean_docs, sign, owner, len(known), len(spelled), toxic_n, clean_n)
     if not len(found):
         return None
     in_clean = np.zeros(len(spelled), dtype=bool)
@@ -288,11 +308,19 @@ def train(sentences: list[tuple[int, int, str]], seed: int = 11) -> Model | None
     marked[owner[telling[sign]]] = True
 
     clean_words = [p for w in np.flatnonzero(in_clean) for p in windows(spelled[w])]
+    in_docs = np.bincount(in_clean_docs % len(spelled), minlength=len(spelled))
+    clean_docs: dict[bytes, int] = {}
+    for w in np.flatnonzero(in_clean):
+        for piece in windows(spelled[w]):
+            clean_docs[piece] = max(clean_docs.get(piece, 0), int(in_docs[w]))
     toxic_only = np.flatnonzero(~in_clean)
-    sure = [p for w in toxic_only if marked[w] for p in windows(spelled[w])]
+    often = np.bincount(in_toxic % len(spelled), minlength=len(spelled))
+    told = sorted(toxic_only[marked[toxic_only]], key=lambda w: (-often[w], spelled[w]))
+    sure = [p for w in told for p in windows(spelled[w])]
+    toxic_docs = {p: int(often[w]) for w in told for p in windows(spelled[w])}
     if not sure:
         return None
-    landmarks = _landmarks(in_toxic, sign, owner, telling, known, len(spelled), LANDMARKS * 3 // 4)
+    landmarks = _landmarks(often, sign, owner, telling, known, LANDMARKS * 7 // 8)
     landmarks += [clean_words[i] for i in rng.permutation(len(clean_words))[: LANDMARKS - len(landmarks)]]
     table = _embed(landmarks)
     gram = kernel(landmarks, table)
@@ -301,7 +329,7 @@ def train(sentences: list[tuple[int, int, str]], seed: int = 11) -> Model | None
     whiten = vectors[:, good] / np.sqrt(values[good])
 
     pick = lambda items, most: [items[i] for i in sorted(rng.permutation(len(items))[:most])]
-    positive, negative = pick(sure, 800), pick(clean_words, 3000)
+    positive, negative = sure[:500] + pick(sure[500:], 500), pick(clean_words, 3000)
     other = [p for w in toxic_only if not marked[w] for p in windows(spelled[w])]
     model = None
     for turn in range(ROUNDS):
@@ -309,8 +337,10 @@ def train(sentences: list[tuple[int, int, str]], seed: int = 11) -> Model | None
         x = kernel(positive + bent + negative, table) @ whiten
         x = np.hstack([x, np.ones((len(x), 1))])
         y = np.array([1.0] * (2 * len(positive)) + [-1.0] * len(negative))
-        w = train_svm(x, y, np.full(len(y), 10.0))
-        model = Model((table @ (whiten @ w[:-1])).astype(np.float64), float(w[-1]), 1.0, 0.0)
+        # A word weighs by the documents that have it, which all depend on it.
+        weight = [toxic_docs.get(v, 1) for v in positive] + [1] * len(bent) + [clean_docs[v] for v in negative]
+        w = train_svm(x, y, 10.0 * np.minimum(100, 1 + np.array(weight)))
+        model = Model(table.fold(whiten @ w[:-1]), float(w[-1]), 1.0, 0.0)
         if turn + 1 == ROUNDS:
             break
         # The hardest clean words join the negatives; a word that occurs in toxic
@@ -349,6 +379,42 @@ def _pieces(spelled: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(signs), np.concatenate(owner)
 
 
+def _vocabulary(texts: list[str], chunk: int = 10_000) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """(word number, spellings, text index) of all words, a chunk of texts in memory at a time."""
+    known: dict[int, int] = {}
+    spelled: list[bytes] = []
+    numbers, at = [], []
+    for lo in range(0, len(texts), chunk):
+        words = letters(texts[lo : lo + chunk])
+        hashes, first, back = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        own = np.empty(len(hashes), np.int64)
+        for k, (h, f) in enumerate(zip(hashes.tolist(), first.tolist())):
+            number = known.setdefault(h, len(spelled))
+            if number == len(spelled):
+                spelled.append(words.data[words.starts[f] : words.ends[f]].tobytes())
+            own[k] = number
+        numbers.append(own[back])
+        at.append(words.doc_of() + lo)
+    return np.concatenate(numbers), spelled, np.concatenate(at)
+
+
+def _known_pieces(spelled: list[bytes], toxic_words: np.ndarray, chunk: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, code number, word): the substrings of toxic documents' words, wherever they occur."""
+    codes, words = _pieces([spelled[w] for w in toxic_words])
+    known, number = np.unique(codes, return_inverse=True)
+    signs, owners = [number.astype(np.int32)], [toxic_words[words].astype(np.int32)]
+    rest = np.setdiff1d(np.arange(len(spelled)), toxic_words)
+    for lo in range(0, len(rest), chunk):
+        part = rest[lo : lo + chunk]
+        codes, words = _pieces([spelled[w] for w in part])
+        at = np.searchsorted(known, codes)
+        at[at == len(known)] = 0
+        hit = known[at] == codes
+        signs.append(at[hit].astype(np.int32))
+        owners.append(part[words[hit]].astype(np.int32))
+    return known, np.concatenate(signs), np.concatenate(owners)
+
+
 def _distinct_documents(sentences: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Sentences of the documents most of whose sentences no earlier document has: a
     group of copies would make every word of theirs look telling."""
@@ -374,18 +440,31 @@ def _documents_with(doc_words: np.ndarray, sign: np.ndarray, owner: np.ndarray,
     n = bounds[word + 1] - bounds[word]
     at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(bounds[word], n)
     docs = int(doc.max(initial=0)) + 1
-    return np.divmod(np.unique(sign[at] * docs + np.repeat(doc, n)), docs)
+    return np.divmod(np.unique(sign[at].astype(np.int64) * docs + np.repeat(doc, n)), docs)
+
+
+def _document_counts(doc_words: np.ndarray, sign: np.ndarray, owner: np.ndarray, n_words: int, signs: int) -> np.ndarray:
+    """Documents that have each substring, a run of documents in memory at a time."""
+    order = np.argsort(owner, kind="stable")
+    sign, owner = sign[order], owner[order]
+    total = np.zeros(signs, np.int64)
+    edges = np.searchsorted(doc_words, np.arange(0, doc_words.max(initial=0) + n_words + 1, 100 * n_words))
+    for lo, hi in zip(edges[:-1], np.append(edges[1:-1], len(doc_words))):
+        if lo < hi:
+            total += np.bincount(_documents_with(doc_words[lo:hi], sign, owner, n_words)[0], minlength=signs)
+    return total
 
 
-def _significant(in_toxic, in_clean, sign, owner, signs: int, n_words: int, share: float) -> np.ndarray:
-    """Substrings of toxic documents that clean ones (all but) lack, at a false
-    discovery rate of 5 %: chance gives share^n of the substrings of n documents."""
-    t = np.bincount(_documents_with(in_toxic, sign, owner, n_words)[0], minlength=signs)
+def _significant(in_toxic, in_clean, sign, owner, signs: int, n_words: int, toxic_n: int, clean_n: int) -> np.ndarray:
+    """Substrings of at least 1 % of the toxic documents that clean ones (all but) lack, at a
+    false discovery rate of 5 %: chance gives share^n of the substrings of n documents."""
+    share = toxic_n / (toxic_n + clean_n)
+    t = _document_counts(in_toxic, sign, owner, n_words, signs)
     near = t[sign] >= 2
-    c = np.bincount(_documents_with(in_clean, sign[near], owner[near], n_words)[0], minlength=signs)
+    c = _document_counts(in_clean, sign[near], owner[near], n_words, signs)
     apart = (c * 50 <= t) & (t >= 2)
     tried = t >= 2
-    for least in range(2, int(t.max(initial=1)) + 1):
+    for least in range(max(2, -(-toxic_n // 100)), int(t.max(initial=1)) + 1):
         taken = apart & (t >= least)
         chance = (share ** (t + c)[tried & (t + c >= least)]).sum()
         if taken.any() and chance / taken.sum() < 0.05:
@@ -393,21 +472,20 @@ def _significant(in_toxic, in_clean, sign, owner, signs: int, n_words: int, shar
     return np.zeros(0, np.int64)
 
 
-def _landmarks(in_toxic, sign, owner, telling, known, n_words: int, most: int) -> list[bytes]:
-    """Greedy cover: the substring found in most toxic documents not yet covered three times."""
-    near = telling[sign]
-    at, doc = _documents_with(in_toxic, sign[near], owner[near], n_words)
-    found, index = np.unique(at, return_inverse=True)
-    weight = np.ones(int(doc.max(initial=0)) + 1)
-    left = np.ones(len(found), dtype=bool)
+def _landmarks(often, sign, owner, telling, known, most: int) -> list[bytes]:
+    """Greedy cover of words by telling substrings: each in turn has most occurrences of words
+    not yet covered; of equal ones the longest."""
+    near = telling[sign] & (often[owner] > 0)
+    found, index = np.unique(sign[near], return_inverse=True)
+    word = owner[near]
+    left = often.astype(float)
     chosen: list[bytes] = []
     for _ in range(min(most, len(found))):
-        gain = np.bincount(index, weights=weight[doc], minlength=len(found)) * left
-        best = int(np.argmax(gain))
-        if gain[best] <= 1e-3:
+        gain = np.bincount(index, weights=left[word], minlength=len(found))
+        best = int(np.flatnonzero(gain == gain.max())[-1])
+        if gain[best] < 0.5:
             break
-        left[best] = False
-        weight[doc[index == best]] /= 3
+        left[np.unique(word[index == best])] = 0.0
         chosen.append(_spell(int(known[found[best]])))
     return chosen
 
