@@ -210,14 +210,21 @@ def bin_list(values: list[bytes]) -> pa.Array:
 # --------------------------------------------------------------------------
 
 
+#: Edges that one task joins up by itself (16 MB of ids).
+LOCAL_EDGES = 1_000_000
+
+
 def components(edges: DataFrame, node: str = "node", label: str = "component") -> DataFrame:
     """Connected components of undirected edges (a, b): rows (node, smallest node).
 
-    Alternating large-star and small-star steps (Kiveris et al., 2014). Every
-    round is a partial aggregation and a join, written to the shared folder;
-    nothing is gathered on the driver but one row of counters per round.
+    Up to ``LOCAL_EDGES`` edges are joined up by one task. More go through
+    alternating large-star and small-star rounds (Kiveris et al., 2014), each a
+    partial aggregation and a join written to the shared folder. Only a row of
+    counters per round reaches the driver.
     """
     current = save(edges.select("a", "b").where("a <> b").distinct(), "edges")
+    if current.count() <= LOCAL_EDGES:
+        return current.coalesce(1).mapInArrow(_join_up, "node long, component long").toDF(node, label)
     before = None
     while True:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -237,3 +244,26 @@ def components(edges: DataFrame, node: str = "node", label: str = "component") -
         before = state
     found = current.select(F.col("a").alias(node), F.col("b").alias(label))
     return found.unionByName(found.select(F.col(label).alias(node), label).distinct())
+
+
+def least_labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Smallest reachable node of each of n nodes joined by edges (i, j)."""
+    root = np.arange(n)
+    while True:
+        low = root.copy()
+        np.minimum.at(low, i, root[j])
+        np.minimum.at(low, j, root[i])
+        low = low[low]
+        if (low == root).all():
+            return root
+        root = low
+
+
+def _join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pairs = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if not pairs:
+        return
+    a, b = (np.concatenate(c) for c in zip(*pairs))
+    ids, back = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root = least_labels(len(ids), back[: len(a)], back[len(a) :])
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[root])], names=["node", "component"])

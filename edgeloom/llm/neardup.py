@@ -14,12 +14,14 @@ Signatures are banded; documents that share a band are candidates; candidates
 are verified by the exact multiset overlap; classes are connected components.
 
 How it scales: equal texts collapse first (partial aggregation), so a group of
-copies is one representative. Within a band bucket, members are compared with
-three leaders found by aggregation, the best of them verified - linear in the
-bucket. Only where a bucket still holds several classes are its members outside
-the largest class compared with the others, by signature, in blocks of bounded
-size and inside numpy; the best candidates are verified, until no untested
-candidate is left. No pair list of a group is built.
+copies is one representative. Each member of a band bucket is compared with the
+bucket's smallest and largest member, found by aggregation; the best of its
+leaders over all bands is verified - linear in the bucket. Only where a bucket
+still holds several classes are its members outside the largest class compared
+with the others: by signature first, and those with a likely partner then by
+their bags, through an index of the block in numpy. Blocks are of bounded size;
+what leaves them is one link per member and foreign class, never a list of
+pairs. As every candidate pair across classes is looked at, one pass is whole.
 
 Defined cases: documents without words, and rows with a null doc_id, are kept,
 each a class of its own; a document of fewer than n words is one shingle; rows
@@ -47,7 +49,9 @@ POSITIONS = BANDS * ROWS
 #: Positions that must agree before a pair is verified: 3.8 deviations below
 #: what a pair at the threshold shows on average.
 AGREE = int(np.ceil(POSITIONS * (THRESHOLD - 3.8 * np.sqrt(THRESHOLD * (1 - THRESHOLD) / POSITIONS))))
-BLOCK = 1024
+BLOCK = 512
+ROWS_PER_GROUP = 4000  # signatures handled by one call
+BAGS_PER_GROUP = 500
 
 _ROUND = np.uint64(0xBF58476D1CE4E5B9)
 _LONG = (1 << 64) - 1
@@ -191,51 +195,92 @@ def _agreements(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return joined.select("rep", "leader", "x", "y").mapInArrow(run, "rep long, leader long, agree int")
 
 
-def _open_pairs(members: DataFrame, most: int) -> DataFrame:
-    """(rep, other, agree, more) across the classes of a bucket, best first, at most
-    ``most`` a member and block; ``more`` tells that a member had others.
-
-    members: (band, bkey, rep, label, sig) of buckets with several classes.
-    """
+def _in_blocks(members: DataFrame, column: str, per_group: int) -> DataFrame:
+    """members (band, bkey, rep, label, column) dealt to pairs of blocks of their bucket:
+    x holds members outside the bucket's largest class, y all; ``g`` names a task-sized
+    group of block pairs."""
     bucket = ["band", "bkey"]
     sizes = members.groupBy(*bucket, "label").agg(F.count("*").alias("n"))
     whole = sizes.groupBy(*bucket).agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("main"))
-    whole = whole.select(*bucket, F.col("main.label").alias("main"), F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    placed = members.join(whole, bucket).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks")))
-    packed = F.collect_list(F.struct("rep", "label", "sig"))
-    every = placed.groupBy(*bucket, "block").agg(packed.alias("y"))
-    few = placed.where("label <> main").groupBy(*bucket, F.col("block").alias("few_block")).agg(packed.alias("x"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                x_id, x_label, x = _side(batch.column(0)[i].values)
-                y_id, y_label, y = _side(batch.column(1)[i].values)
-                reps, others, agrees, mores = [], [], [], []
-                for j in range(0, len(x_id), 64):
-                    agree = np.zeros((len(x_id[j : j + 64]), len(y_id)), dtype=np.int16)
-                    for p in range(x.shape[1]):
-                        agree += x[j : j + 64, p, None] == y[None, :, p]
-                    agree[x_label[j : j + 64, None] == y_label[None, :]] = 0
-                    for r in np.flatnonzero((agree >= AGREE).any(axis=1)):
-                        found = np.flatnonzero(agree[r] >= AGREE)
-                        found = found[np.lexsort((y_id[found], -agree[r, found]))]
-                        reps += [x_id[j + r]] * min(most, len(found))
-                        others += y_id[found[:most]].tolist()
-                        agrees += agree[r, found[:most]].tolist()
-                        mores += [len(found) > most] * min(most, len(found))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(reps, pa.int64()), pa.array(others, pa.int64()), pa.array(agrees, pa.int32()), pa.array(mores, pa.bool_())],
-                    names=["rep", "other", "agree", "more"],
-                )
-
-    return few.join(every, bucket).select("x", "y").mapInArrow(run, "rep long, other long, agree int, more boolean")
-
-
-def _side(values: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = len(values)
-    rep, label, sig = (values.field(i) for i in range(3))
-    return rep.to_numpy(), label.to_numpy(), lanes(sig.flatten().to_numpy(zero_copy_only=False)).reshape(n, -1)
+    whole = whole.select(*bucket, F.col("main.label").alias("main"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    groups = int(members.count() // per_group) + 1
+    placed = members.join(whole, bucket).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks")).cast("int"))
+    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    kept = [*bucket, "rep", "label", column]
+    x = placed.where("label <> main").select(*kept, F.col("block").alias("xb"), each.alias("yb"), F.lit(True).alias("few"))
+    y = placed.select(*kept, each.alias("xb"), F.col("block").alias("yb"), F.lit(False).alias("few"))
+    both = x.unionByName(y)
+    return both.withColumn("g", F.pmod(F.xxhash64(*bucket, "xb", "yb"), F.lit(groups)))
+
+
+def _block_pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows of x, rows of y) of each pair of blocks in a group that has both."""
+    keys = [table.column(c).to_numpy() for c in ("band", "bkey", "xb", "yb")]
+    few = table.column("few").to_numpy()
+    order = np.lexsort((few, *keys[::-1]))
+    new = np.zeros(len(order), dtype=bool)
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    for rows in np.split(order, np.flatnonzero(new)):
+        x = rows[few[rows]]
+        if len(x):
+            yield x, rows[~few[rows]]
+
+
+def _likely(table: pa.Table) -> pa.Table:
+    """(band, bkey, rep) of members with a likely partner in another class of the bucket.
+
+    A pair that shares several bands is looked at in the first.
+    """
+    table = table.combine_chunks()
+    rep, label, band = (table.column(c).to_numpy() for c in ("rep", "label", "band"))
+    bkey = table.column("bkey").to_numpy()
+    keys = table.column("sig").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(rep), -1)
+    values = lanes(keys)
+    found: list[np.ndarray] = []
+    for x, y in _block_pairs(table):
+        for lo in range(0, len(x), 64):
+            part = x[lo : lo + 64]
+            agree = np.zeros((len(part), len(y)), dtype=np.int16)
+            for p in range(values.shape[1]):
+                agree += values[part, p, None] == values[None, y, p]
+            likely = (agree >= AGREE) & (label[part, None] != label[None, y])
+            i, j = np.nonzero(likely)
+            first = int(band[part[0]])
+            late = (keys[part[i], :first] == keys[y[j], :first]).any(axis=1)
+            found += [np.unique(part[i[~late]]), np.unique(y[j[~late]])]
+    rows = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    return pa.table([pa.array(band[rows]), pa.array(bkey[rows]), pa.array(rep[rows])], names=["band", "bkey", "rep"])
+
+
+def _linked(threshold: float):
+    """(a, b): for each x member and each other class with a member similar enough, the most similar one."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        rep, label = (table.column(c).to_numpy() for c in ("rep", "label"))
+        bags = [np.frombuffer(v, np.uint64) for v in table.column("bag").to_pylist()]
+        a_out, b_out = [], []
+        for x, y in _block_pairs(table):
+            sizes = np.array([len(bags[r]) for r in y])
+            unit = np.concatenate([bags[r] for r in y])
+            order = np.argsort(unit, kind="stable")
+            unit, owner = unit[order], np.repeat(np.arange(len(y)), sizes)[order]
+            for r in x:
+                lo, hi = np.searchsorted(unit, bags[r], "left"), np.searchsorted(unit, bags[r], "right")
+                n = hi - lo
+                hits = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+                both = np.bincount(owner[hits], minlength=len(y))
+                similar = both / np.maximum(len(bags[r]) + sizes - both, 1)
+                ok = np.flatnonzero((similar >= threshold) & (label[y] != label[r]))
+                ok = ok[np.lexsort((rep[y[ok]], -similar[ok]))]
+                _, one = np.unique(label[y[ok]], return_index=True)
+                a_out += [rep[r]] * len(one)
+                b_out += rep[y[ok[one]]].tolist()
+        return pa.table([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], schema=schema)
+
+    return run
 
 
 def classes_of(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
@@ -243,34 +288,29 @@ def classes_of(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD)
     signed = save(signatures(docs, n), "near-signatures")
     reps = save(signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig")), "near-reps")
     slots = reps.select("rep", F.posexplode("sig").alias("band", "bkey"))
-    leaders = slots.groupBy("band", "bkey").agg(
-        F.count("*").alias("n"), F.min("rep").alias("l1"), F.max("rep").alias("l2"), F.min_by("rep", F.xxhash64("rep")).alias("l3")
-    )
-    shared = save(slots.join(leaders.where("n > 1"), ["band", "bkey"]), "near-slots")
+    leaders = slots.groupBy("band", "bkey").agg(F.min("rep").alias("l1"), F.max("rep").alias("l2")).where("l1 < l2")
+    shared = save(slots.join(leaders, ["band", "bkey"]), "near-slots")
     units = save(bags(docs.join(shared.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), n).dropDuplicates(["doc_id"]), "near-bags")
 
-    led = shared.select("rep", F.explode(F.array_distinct(F.array("l1", "l2", "l3"))).alias("leader")).where("rep <> leader").distinct()
-    rank = Window.partitionBy("rep").orderBy(F.col("agree").desc(), "leader")
-    best = _agreements(led, reps).where(F.col("agree") >= AGREE).withColumn("r", F.row_number().over(rank)).where("r = 1")
-    tried = save(best.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct(), "near-pairs")
-    edges = save(_verify(tried, units, threshold), "near-edges")
-    most = 4
-    while True:
-        classes = save(components(edges), "near-classes")
-        labelled = shared.select("band", "bkey", "rep").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
-        labelled = labelled.select("band", "bkey", "rep", F.coalesce("component", "rep").alias("label"))
-        several = labelled.groupBy("band", "bkey").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band", "bkey")
-        members = labelled.join(several, ["band", "bkey"]).join(reps.select("rep", "sig"), "rep")
-        found = save(_open_pairs(members, most), "near-open")
-        fresh = found.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        fresh = save(fresh, "near-pairs")
-        if fresh.isEmpty():
-            if not found.where("more").isEmpty():
-                most *= 8
-                continue
-            break
-        tried = tried.unionByName(fresh)
-        edges = edges.unionByName(save(_verify(fresh, units, threshold), "near-edges"))
+    led = shared.select("rep", F.explode(F.array("l1", "l2")).alias("leader")).where("rep <> leader").distinct()
+    scored = _agreements(led, reps).where(F.col("agree") >= AGREE)
+    best = scored.groupBy("rep").agg(F.min(F.struct((-F.col("agree")).alias("n"), "leader")).alias("m"))
+    pairs = best.select(F.least("rep", "m.leader").alias("a"), F.greatest("rep", "m.leader").alias("b")).distinct()
+    edges = save(_verify(pairs, units, threshold), "near-edges")
+
+    # Buckets that still hold several classes.
+    classes = save(components(edges), "near-classes")
+    labelled = shared.select("band", "bkey", "rep").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
+    labelled = save(labelled.select("band", "bkey", "rep", F.coalesce("component", "rep").alias("label")), "near-labels")
+    several = labelled.groupBy("band", "bkey").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band", "bkey")
+    members = labelled.join(several, ["band", "bkey"])
+    signed_members = save(members.join(reps.select("rep", "sig"), "rep"), "near-open")
+    likely = _in_blocks(signed_members, "sig", ROWS_PER_GROUP).groupBy("g").applyInArrow(_likely, "band int, bkey long, rep long").distinct()
+    bagged = members.join(likely, ["band", "bkey", "rep"]).join(units.withColumnRenamed("doc_id", "rep"), "rep")
+    bagged = save(bagged.select("band", "bkey", "rep", "label", "bag"), "near-likely")
+    fresh = save(_in_blocks(bagged, "bag", BAGS_PER_GROUP).groupBy("g").applyInArrow(_linked(threshold), "a long, b long"), "near-edges")
+    edges = edges.unionByName(fresh)
+
     # Documents by way of their text's representative; texts that share a doc_id are one document.
     owned = save(signed.select("doc_id", "digest").join(reps.select("digest", "rep"), "digest").select("doc_id", "rep"), "near-owned")
     several = owned.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("doc_id", "a")
