@@ -270,3 +270,44 @@ def test_unsigned_ids_and_empty(spark):
     assert matrix.count_matrix(empty).count() == 0 and proximity.analytical(empty).count() == 0
     assert edges.count_statistics(empty.withColumn("sample", F.lit("s"))).first()["n_edges"] == 0
     assert edges.size_knee(edges.component_sizes(empty)) == 8000
+
+
+def test_annotation_and_background(spark):
+    from edgeloom.operators import annotate
+
+    rng = np.random.default_rng(2)
+    rows = []
+    for c in range(40):
+        high = "M0" if c < 20 else "M1"
+        rows += [(f"c{c:02}", m, int(rng.poisson(80 if m == high else 6))) for m in ("M0", "M1", "M2", "iso")]
+    counts = spark.createDataFrame(rows, "component string, marker string, count long")
+    values = annotate.log_normalize(counts).groupBy("component").pivot("marker").agg(F.first("value")).toPandas().set_index("component").sort_index()
+    labels = pd.Series(["a"] * 20 + ["b"] * 20)
+    got = {r["component"]: r["cell_type"] for r in annotate.annotate_cells(counts, values, labels, 5, 3).collect()}
+    assert all(got[f"c{c:02}"] == ("a" if c < 20 else "b") for c in range(40))
+    dsb = annotate.dsb_normalize(counts, ["iso"]).toPandas()
+    m0 = dsb[dsb["marker"] == "M0"].sort_values("component")["value"].to_numpy()
+    assert m0[:20].min() > m0[20:].max() and abs(m0[20:].mean()) < 0.5
+
+
+def test_colocalization_null_and_walks(spark):
+    from edgeloom.functions.lines import simplify
+
+    rng = np.random.default_rng(3)
+    rows = [("c", r, m, float(rng.poisson(3 + 6 * (r % 2) * (m != "Z")))) for r in range(60) for m in ("X", "Y", "Z")]
+    regions = spark.createDataFrame(rows, "component string, region int, marker string, value double")
+    got = {(r["marker_1"], r["marker_2"]): r for r in spatial.permuted_colocalization(regions, ["component"], 30).collect()}
+    plain = {(r["marker_1"], r["marker_2"]): r["pearson"] for r in spatial.colocalization(regions, ["component"]).collect()}
+    assert got["X", "Y"]["pearson"] == pytest.approx(plain["X", "Y"]) and got["X", "Y"]["pearson_z"] > 3 > abs(got["X", "Z"]["pearson_z"])
+    square = frame(spark, [(0, 1, "M0", "M1", 1, 1), (0, 3, "M0", "M1", 1, 1), (2, 1, "M0", "M1", 1, 1), (2, 3, "M0", "M1", 1, 1)])
+    walked = {(r["umi"], r["target"]): r["p"] for r in spatial.walk_probabilities(square, 2).collect()}
+    assert walked[0, 2] == pytest.approx(1.0) and (0, 0) not in walked
+    assert simplify(np.array([[0, 0], [1, 0.01], [2, 0], [3, 2]]), 0.1).tolist() == [True, False, True, True]
+    assert len(simplify(np.zeros((0, 2)), 1)) == 0
+
+
+def test_differential_scores(spark):
+    rows = [("X", "r", float(v)) for v in range(8)] + [("X", "t", float(v + 3)) for v in range(8)]
+    df = spark.createDataFrame(rows, "marker string, condition string, morans_i double")
+    r = spatial.differential_scores(df, ["marker"], "condition", "r", "t", "morans_i").first()
+    assert r["median_difference"] == -3.0 and r["p_adjusted"] == r["p_value"] < 0.1
