@@ -210,6 +210,25 @@ def bin_list(values: list[bytes]) -> pa.Array:
 # --------------------------------------------------------------------------
 
 
+#: Bits of the sieve below: 262,144 rows of 64, whatever the number of ids.
+SIEVE_BITS = 1 << 24
+
+
+def sieve(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """Rows of df whose id may be in ids(column), before any shuffle of df.
+
+    A bitmap of the ids' hashes, at most SIEVE_BITS / 64 rows by construction, is
+    broadcast. It lets through every id of ids and a few others (more, the more
+    ids there are), so an exact join follows.
+    """
+    slot = F.pmod(F.xxhash64(F.col(column), F.lit(17)), F.lit(SIEVE_BITS))
+    bit = F.expr("shiftleft(1L, CAST(_slot % 64 AS INT))")
+    marked = ids.select(slot.alias("_slot")).groupBy(F.floor(F.col("_slot") / 64).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    placed = df.withColumn("_slot", slot).withColumn("_word", F.floor(F.col("_slot") / 64))
+    met = placed.join(F.broadcast(marked), "_word").where(F.col("_bits").bitwiseAND(bit) != 0)
+    return met.select(*df.columns)
+
+
 #: Edges that one task joins up by itself (16 MB of ids).
 LOCAL_EDGES = 1_000_000
 

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import components, mix64, save, shingles, word_pieces
+from edgeloom.llm.common import components, mix64, save, shingles, sieve, word_pieces
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -290,7 +290,10 @@ def classes_of(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD)
     slots = reps.select("rep", F.posexplode("sig").alias("band", "bkey"))
     leaders = slots.groupBy("band", "bkey").agg(F.min("rep").alias("l1"), F.max("rep").alias("l2")).where("l1 < l2")
     shared = save(slots.join(leaders, ["band", "bkey"]), "near-slots")
-    units = save(bags(docs.join(shared.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), n).dropDuplicates(["doc_id"]), "near-bags")
+    ids = shared.select(F.col("rep").alias("doc_id")).distinct()
+    # The exact join comes after the bags, or the optimizer would move it before the sieve.
+    sieved = bags(sieve(docs.select("doc_id", "text"), ids, "doc_id"), n)
+    units = save(sieved.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "near-bags")
 
     led = shared.select("rep", F.explode(F.array("l1", "l2")).alias("leader")).where("rep <> leader").distinct()
     scored = _agreements(led, reps).where(F.col("agree") >= AGREE)
