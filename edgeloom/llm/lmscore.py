@@ -105,22 +105,34 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, np.ndarr
             yield flush()
 
 
-def _tail(keys: np.ndarray) -> bytes:
-    """The upper six bytes of each key."""
-    return np.ascontiguousarray((keys >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def _pack(numbers: np.ndarray, width: int) -> bytes:
+    """The lower ``width`` bytes of each number, byte by byte in planes, compressed."""
+    planes = np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return len(numbers).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
 
-def _untail(data) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :6] = raw
+def _unpack(data: bytes, width: int) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], n * width, "zstd", asbytes=True), np.uint8).reshape(width, n)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = planes.T
     return out.view("<u8").ravel()
 
 
+def _tail(keys: np.ndarray) -> bytes:
+    """The upper six bytes of each key, which ascend: as differences."""
+    return _pack(np.diff(keys >> np.uint64(16), prepend=np.uint64(0)), 6)
+
+
+def _untail(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(data, 6))
+
+
 def _split(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions sorted by partition, bounds of each partition)."""
-    home = (keys % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(home, kind="stable")
+    """(positions sorted by partition and key, bounds of each partition)."""
+    home = keys % np.uint64(parts)
+    tail = keys >> np.uint64(16)
+    order = np.argsort(home << np.uint64(48) | tail, kind="stable") if parts <= 1 << 16 else np.lexsort((tail, home))
     return order, np.searchsorted(home[order], np.arange(parts + 1))
 
 
@@ -131,7 +143,7 @@ def _ask(docs: DataFrame, parts: int) -> DataFrame:
         for name, _, _, block in _blocks(batches):
             for n in range(1, ORDER + 1):
                 keys = block.keys[n - 1]
-                times = np.bincount(block.number[n - 1], minlength=len(keys)).astype("<u4")
+                times = np.bincount(block.number[n - 1], minlength=len(keys))
                 order, bounds = _split(keys, parts)
                 used = np.flatnonzero(np.diff(bounds))
                 slices = [order[bounds[p] : bounds[p + 1]] for p in used]
@@ -141,7 +153,7 @@ def _ask(docs: DataFrame, parts: int) -> DataFrame:
                         pa.array(np.full(len(used), n, np.int32)),
                         pa.array(np.full(len(used), name, np.int64)),
                         pa.array([_tail(keys[s]) for s in slices], pa.binary()),
-                        pa.array([times[s].tobytes() for s in slices], pa.binary()),
+                        pa.array([_pack(times[s], 4) for s in slices], pa.binary()),
                     ],
                     names=["part", "kind", "block", "keys", "counts"],
                 )
@@ -158,10 +170,10 @@ def _answer(table: pa.Table) -> pa.Table:
         rows = np.flatnonzero(kinds == kind)
         asked = [_untail(keys[r]) for r in rows]
         _, back = np.unique(np.concatenate(asked), return_inverse=True)
-        total = np.bincount(back, weights=np.concatenate([np.frombuffer(counts[r], "<u4") for r in rows])).astype("<u4")
+        total = np.bincount(back, weights=np.concatenate([_unpack(counts[r], 4) for r in rows])).astype(np.int64)
         lo = 0
         for r, a in zip(rows, asked):
-            out[r] = total[back[lo : lo + len(a)]].tobytes()
+            out[r] = _pack(total[back[lo : lo + len(a)]], 5)
             lo += len(a)
     none = pa.nulls(len(kinds), pa.binary())
     return pa.table([table.column("block"), table.column("kind"), table.column("part"), pa.array(out, pa.binary()), none, none], names=["block", "kind", "part", "data", "vocabulary", "docs"])
@@ -174,7 +186,7 @@ def _hold(docs: DataFrame) -> DataFrame:
         for name, ids, valid, block in _blocks(batches):
             held = np.stack([ids, valid.astype(np.int64), block.counts.astype(np.int64)]).astype("<i8")
             yield pa.RecordBatch.from_arrays(
-                [pa.array([name]), pa.array([0], pa.int32()), pa.array([0], pa.int32()), pa.array([block.ids.astype("<u4").tobytes()], pa.binary()), pa.array([block.vocabulary.astype("<u8").tobytes()], pa.binary()), pa.array([held.tobytes()], pa.binary())],
+                [pa.array([name]), pa.array([0], pa.int32()), pa.array([0], pa.int32()), pa.array([_pack(block.ids, 4)], pa.binary()), pa.array([block.vocabulary.astype("<u8").tobytes()], pa.binary()), pa.array([held.tobytes()], pa.binary())],
                 names=["block", "kind", "part", "data", "vocabulary", "docs"],
             )
 
@@ -191,7 +203,7 @@ def _scores(total: int, parts: int):
         out = []
         for row in np.flatnonzero(kinds == 0):
             ids, valid, counts = np.frombuffer(table.column("docs")[int(row)].as_py(), "<i8").reshape(3, -1)
-            block = _Block(np.frombuffer(table.column("vocabulary")[int(row)].as_py(), "<u8"), np.frombuffer(data[row], "<u4"), counts)
+            block = _Block(np.frombuffer(table.column("vocabulary")[int(row)].as_py(), "<u8"), _unpack(data[row], 4), counts)
             found = []
             for n in range(1, ORDER + 1):
                 keys = block.keys[n - 1]
@@ -200,7 +212,7 @@ def _scores(total: int, parts: int):
                 for p in np.flatnonzero(np.diff(bounds)):
                     if (n, int(p)) not in answers:
                         raise ValueError("a block of documents changed between two readings of the input")
-                    values[order[bounds[p] : bounds[p + 1]]] = np.frombuffer(answers[n, int(p)], "<u4")
+                    values[order[bounds[p] : bounds[p + 1]]] = _unpack(answers[n, int(p)], 5)
                 found.append(values)
             out.append(_score_block(block, found, ids, valid, total))
         if not out:
