@@ -20,7 +20,8 @@ other labels are unused). Scoring is one pass without shuffle over whole texts;
 words repeat, so each is scored once per task while it stays in a bounded table.
 
 Defined cases: null or blank texts score as a document without words (the
-curve's lowest value); without toxic training rows every score is 0; rows of
+curve's lowest value); without toxic training rows, or where no substring stands out and
+a class has a single document, every score is 0; rows of
 null doc_id are scored and not held out; repeated rows score alike; label rows
 with null doc_id or toxic are ignored; an empty table gives an empty result;
 other columns are ignored.
@@ -40,7 +41,7 @@ from edgeloom.llm.common import PIECE_BYTES, Words
 
 DECAY = 0.5
 LONGEST = 24  # longer words are read in windows of this many letters, half overlapping
-LANDMARKS = 160
+LANDMARKS = 640  # as many as cover the telling words, 160 at least
 TOXIC_DOCS = 1200
 CLEAN_DOCS = 2400
 SENTENCES = 300
@@ -298,14 +299,26 @@ def train(sentences: list[tuple[int, int, str]], seed: int = 11) -> Model | None
     in_toxic, in_clean_docs = (np.unique(doc[label == t] * len(spelled) + back[label == t]) for t in (1, 0))
     known, sign, owner = _known_pieces(spelled, np.unique(in_toxic % len(spelled)))
     found = _significant(in_toxic, in_clean_docs, sign, owner, len(known), len(spelled), toxic_n, clean_n)
+    rest = None
     if not len(found):
-        return None
+        # Where no substring stands out, all words of toxic sentences are trained on, in one
+        # half of the documents; the other half tells how far they may be trusted.
+        y = np.zeros(len(names))
+        y[doc_of] = label_of
+        halves = [rng.permutation(np.flatnonzero(y == t)) for t in (1, 0)]
+        if min(len(h) for h in halves) < 2:
+            return None
+        rest = np.zeros(len(names), dtype=bool)
+        rest[np.concatenate([h[1::2] for h in halves])] = True
+        in_toxic, in_clean_docs = (pairs[~rest[pairs // len(spelled)]] for pairs in (in_toxic, in_clean_docs))
     in_clean = np.zeros(len(spelled), dtype=bool)
     in_clean[in_clean_docs % len(spelled)] = True
     marked = np.zeros(len(spelled), dtype=bool)
     telling = np.zeros(len(known), dtype=bool)
-    telling[found] = True
+    often = np.bincount(in_toxic % len(spelled), minlength=len(spelled))
+    telling[found if rest is None else slice(None)] = True
     marked[owner[telling[sign]]] = True
+    marked &= often > 0
 
     clean_words = [p for w in np.flatnonzero(in_clean) for p in windows(spelled[w])]
     in_docs = np.bincount(in_clean_docs % len(spelled), minlength=len(spelled))
@@ -313,15 +326,18 @@ def train(sentences: list[tuple[int, int, str]], seed: int = 11) -> Model | None
     for w in np.flatnonzero(in_clean):
         for piece in windows(spelled[w]):
             clean_docs[piece] = max(clean_docs.get(piece, 0), int(in_docs[w]))
-    toxic_only = np.flatnonzero(~in_clean)
-    often = np.bincount(in_toxic % len(spelled), minlength=len(spelled))
+    toxic_only = np.flatnonzero(~in_clean & (often > 0))
+    if not marked[toxic_only].any() or rest is not None:
+        toxic_only = np.flatnonzero(marked)
     told = sorted(toxic_only[marked[toxic_only]], key=lambda w: (-often[w], spelled[w]))
     sure = [p for w in told for p in windows(spelled[w])]
     toxic_docs = {p: int(often[w]) for w in told for p in windows(spelled[w])}
     if not sure:
         return None
     landmarks = _landmarks(often, sign, owner, telling, known, LANDMARKS * 7 // 8)
-    landmarks += [clean_words[i] for i in rng.permutation(len(clean_words))[: LANDMARKS - len(landmarks)]]
+    covered = kernel(sure, _embed(landmarks)).max(axis=1) if landmarks else np.zeros(len(sure))
+    landmarks += [sure[i] for i in np.flatnonzero(covered < 0.9)[: LANDMARKS * 7 // 8 - len(landmarks)]]
+    landmarks += [clean_words[i] for i in rng.permutation(len(clean_words))[: max(160, len(landmarks) * 8 // 7) - len(landmarks)]]
     table = _embed(landmarks)
     gram = kernel(landmarks, table)
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
@@ -329,7 +345,7 @@ def train(sentences: list[tuple[int, int, str]], seed: int = 11) -> Model | None
     whiten = vectors[:, good] / np.sqrt(values[good])
 
     pick = lambda items, most: [items[i] for i in sorted(rng.permutation(len(items))[:most])]
-    positive, negative = sure[:500] + pick(sure[500:], 500), pick(clean_words, 3000)
+    positive, negative = sure[:1000] + pick(sure[1000:], 1000), pick(clean_words, 3000)
     other = [p for w in toxic_only if not marked[w] for p in windows(spelled[w])]
     model = None
     for turn in range(ROUNDS):
@@ -337,8 +353,8 @@ def train(sentences: list[tuple[int, int, str]], seed: int = 11) -> Model | None
         x = kernel(positive + bent + negative, table) @ whiten
         x = np.hstack([x, np.ones((len(x), 1))])
         y = np.array([1.0] * (2 * len(positive)) + [-1.0] * len(negative))
-        # A word weighs by the documents that have it, which all depend on it.
-        weight = [toxic_docs.get(v, 1) for v in positive] + [1] * len(bent) + [clean_docs[v] for v in negative]
+        # A word and its variants weigh by the documents that have it, which all depend on it.
+        weight = [toxic_docs.get(v, 1) for v in positive] * 2 + [clean_docs[v] for v in negative]
         w = train_svm(x, y, 10.0 * np.minimum(100, 1 + np.array(weight)))
         model = Model(table.fold(whiten @ w[:-1]), float(w[-1]), 1.0, 0.0)
         if turn + 1 == ROUNDS:
@@ -350,7 +366,7 @@ def train(sentences: list[tuple[int, int, str]], seed: int = 11) -> Model | None
         score = model.words(other) if other else np.zeros(0)
         witness = [other[i] for i in np.flatnonzero(score > clean_score.max(initial=0.0))]
         positive = sorted(set(positive) | set(pick(witness, 800)))
-    return _calibrate(model, spelled, back, doc, label_of, doc_of, len(names))
+    return _calibrate(model, spelled, back, doc, label_of, doc_of, len(names), rest)
 
 
 def _pieces(spelled: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -448,28 +464,27 @@ def _document_counts(doc_words: np.ndarray, sign: np.ndarray, owner: np.ndarray,
     order = np.argsort(owner, kind="stable")
     sign, owner = sign[order], owner[order]
     total = np.zeros(signs, np.int64)
-    edges = np.searchsorted(doc_words, np.arange(0, doc_words.max(initial=0) + n_words + 1, 100 * n_words))
-    for lo, hi in zip(edges[:-1], np.append(edges[1:-1], len(doc_words))):
+    edges = np.searchsorted(doc_words, np.arange(0, doc_words.max(initial=0) + 1, 100 * n_words))
+    for lo, hi in zip(edges, np.append(edges[1:], len(doc_words))):
         if lo < hi:
             total += np.bincount(_documents_with(doc_words[lo:hi], sign, owner, n_words)[0], minlength=signs)
     return total
 
 
 def _significant(in_toxic, in_clean, sign, owner, signs: int, n_words: int, toxic_n: int, clean_n: int) -> np.ndarray:
-    """Substrings of at least 1 % of the toxic documents that clean ones (all but) lack, at a
+    """Substrings of two toxic documents or more that clean ones (all but) lack, at a
     false discovery rate of 5 %: chance gives share^n of the substrings of n documents."""
     share = toxic_n / (toxic_n + clean_n)
     t = _document_counts(in_toxic, sign, owner, n_words, signs)
-    near = t[sign] >= 2
-    c = _document_counts(in_clean, sign[near], owner[near], n_words, signs)
-    apart = (c * 50 <= t) & (t >= 2)
     tried = t >= 2
-    for least in range(max(2, -(-toxic_n // 100)), int(t.max(initial=1)) + 1):
-        taken = apart & (t >= least)
-        chance = (share ** (t + c)[tried & (t + c >= least)]).sum()
-        if taken.any() and chance / taken.sum() < 0.05:
-            return np.flatnonzero(taken)
-    return np.zeros(0, np.int64)
+    near = tried[sign]
+    n = t + _document_counts(in_clean, sign[near], owner[near], n_words, signs)
+    apart = ((n - t) * 50 <= t) & tried
+    from_least = lambda counts, weights=None: np.bincount(counts, weights, minlength=int(n.max(initial=1)) + 1)[::-1].cumsum()[::-1]
+    taken, chance = from_least(t[apart]), from_least(n[tried], share ** n[tried])
+    good = np.flatnonzero((taken > 0) & (chance < 0.05 * taken))
+    good = good[good >= 2]
+    return np.flatnonzero(apart & (t >= good[0])) if len(good) else np.zeros(0, np.int64)
 
 
 def _landmarks(often, sign, owner, telling, known, most: int) -> list[bytes]:
@@ -503,8 +518,9 @@ def _insert(word: bytes, rng: np.random.Generator) -> bytes:
     return (word[:at] + bytes([0x40 + int(rng.integers(1, 37))]) + word[at:])[:LONGEST]
 
 
-def _calibrate(model: Model, spelled, back, doc, label_of, doc_of, docs: int) -> Model:
-    """Logistic curve over the documents' largest word scores (Newton, lightly regularised)."""
+def _calibrate(model: Model, spelled, back, doc, label_of, doc_of, docs: int, only: np.ndarray | None) -> Model:
+    """Logistic curve over the documents' largest word scores (Newton, lightly regularised);
+    over some only, at the sample's own rate of toxic ones."""
     pieces = [(i, p) for i, w in enumerate(spelled) for p in windows(w)]
     score = np.full(len(spelled), -np.inf)
     np.maximum.at(score, [i for i, _ in pieces], model.words([p for _, p in pieces]))
@@ -513,6 +529,7 @@ def _calibrate(model: Model, spelled, back, doc, label_of, doc_of, docs: int) ->
     y = np.zeros(docs)
     y[doc_of] = label_of
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
+    weight = weight if only is None else only.astype(float)
     a = np.array([1.0, 0.0])
     design = np.stack([x, np.ones_like(x)], axis=1)
     for _ in range(50):

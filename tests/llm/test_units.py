@@ -158,6 +158,21 @@ def test_toxicity_learns_and_bends():
     assert toxicity.train([]) is None and toxicity.train(rows[:1]) is None
 
 
+def test_toxicity_learns_rare_insults():
+    """Insults of 0.25 % of the toxic documents each, few documents, and insults of one document each."""
+    rng = random.Random(3)
+    word = lambda least, most: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(least, most)))
+    vocabulary, insults = [word(3, 9) for _ in range(3000)], [word(8, 8) for _ in range(400)]
+    text = lambda n, *more: " ".join([*rng.sample(vocabulary, n), *more])
+    for docs, kinds, caught, spared in ((1200, 400, 0.9, 0.85), (60, 6, 0.9, 0.85), (40, 40, 0.0, 0.8)):
+        rows = [(d, int(d < docs), text(29, insults[d % kinds]) if d < docs else text(30)) for d in range(3 * docs)]
+        model = toxicity.train(rows)
+        score = lambda texts: model.curve(toxicity.Scorer(model).most_toxic(texts))  # noqa: B023, E731
+        assert (score([text(29, i) for i in insults[:kinds]]) > 0.5).mean() >= caught
+        clean = score([text(30) for _ in range(300)])
+        assert (clean < 0.5).mean() >= spared and clean.min() > 0
+
+
 def test_additive_quantisation_reduces_error_and_finds_neighbours():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 16))
