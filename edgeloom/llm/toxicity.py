@@ -5,10 +5,11 @@ weighted by ``DECAY`` to the length it spans, so gaps and inserted letters cost
 a little instead of hiding the word. Punctuation inside a word is dropped and
 letters that stand alone in a row are also read as one word, which covers
 "i.d.i.o.t" and "i d i o t". A linear SVM over Nyström features (kernel values
-at landmark words, whitened) is trained on sentences that inherit their
-document's label: each toxic sentence is represented by its witness, the word
-that stands out most; clean sentences by their words, hardest first, over a few
-rounds. Variants of witnesses with an inserted letter are trained along.
+at landmark words, whitened) is trained on single words, not on sentences: on
+those that toxic documents have and clean ones lack or have far more rarely, against
+the words of clean documents, hardest first, over a few rounds. Variants of toxic
+words with an inserted letter are trained along. Insults made of several ordinary
+words, or split over two words, are therefore missed.
 
 A document scores by its most toxic word; a logistic curve fitted on the
 training documents maps that to 0..1. The trained model folds into one table
@@ -311,17 +312,19 @@ def train(sentences: list[tuple[int, int, str]], seed: int = 11) -> Model | None
         rest = np.zeros(len(names), dtype=bool)
         rest[np.concatenate([h[1::2] for h in halves])] = True
         in_toxic, in_clean_docs = (pairs[~rest[pairs // len(spelled)]] for pairs in (in_toxic, in_clean_docs))
-    in_clean = np.zeros(len(spelled), dtype=bool)
-    in_clean[in_clean_docs % len(spelled)] = True
+    in_docs = np.bincount(in_clean_docs % len(spelled), minlength=len(spelled))
     marked = np.zeros(len(spelled), dtype=bool)
     telling = np.zeros(len(known), dtype=bool)
     often = np.bincount(in_toxic % len(spelled), minlength=len(spelled))
     telling[found if rest is None else slice(None)] = True
     marked[owner[telling[sign]]] = True
     marked &= often > 0
+    # A word is toxic by its class frequencies even where clean documents have it as well.
+    sided = _sided(often, in_docs, *((len(np.unique(pairs // len(spelled))) for pairs in (in_toxic, in_clean_docs))))
+    marked |= sided
+    in_clean = (in_docs > 0) & ~sided
 
     clean_words = [p for w in np.flatnonzero(in_clean) for p in windows(spelled[w])]
-    in_docs = np.bincount(in_clean_docs % len(spelled), minlength=len(spelled))
     clean_docs: dict[bytes, int] = {}
     for w in np.flatnonzero(in_clean):
         for piece in windows(spelled[w]):
@@ -331,7 +334,7 @@ def train(sentences: list[tuple[int, int, str]], seed: int = 11) -> Model | None
         toxic_only = np.flatnonzero(marked)
     told = sorted(toxic_only[marked[toxic_only]], key=lambda w: (-often[w], spelled[w]))
     sure = [p for w in told for p in windows(spelled[w])]
-    toxic_docs = {p: int(often[w]) for w in told for p in windows(spelled[w])}
+    toxic_docs = {p: max(1, int(often[w] - in_docs[w])) for w in told for p in windows(spelled[w])}
     if not sure:
         return None
     landmarks = _landmarks(often, sign, owner, telling, known, LANDMARKS * 7 // 8)
@@ -345,7 +348,8 @@ def train(sentences: list[tuple[int, int, str]], seed: int = 11) -> Model | None
     whiten = vectors[:, good] / np.sqrt(values[good])
 
     pick = lambda items, most: [items[i] for i in sorted(rng.permutation(len(items))[:most])]
-    positive, negative = sure[:1000] + pick(sure[1000:], 1000), pick(clean_words, 3000)
+    positive = sure[:1000] + pick(sure[1000:], 1000)
+    negative = pick(clean_words, 3000)
     other = [p for w in toxic_only if not marked[w] for p in windows(spelled[w])]
     model = None
     for turn in range(ROUNDS):
@@ -487,6 +491,14 @@ def _significant(in_toxic, in_clean, sign, owner, signs: int, n_words: int, toxi
     return np.flatnonzero(apart & (t >= good[0])) if len(good) else np.zeros(0, np.int64)
 
 
+def _sided(often: np.ndarray, in_docs: np.ndarray, toxic_n: int, clean_n: int) -> np.ndarray:
+    """Words that toxic documents have three times as often as clean ones, beyond chance (six deviations)."""
+    both = (often + in_docs) / (toxic_n + clean_n)
+    spread = np.sqrt(both * (1 - both) * (1 / toxic_n + 1 / clean_n)) + 1e-12
+    gap = often / toxic_n - in_docs / clean_n
+    return (often / toxic_n >= 3 * in_docs / clean_n) & (gap >= 6 * spread)
+
+
 def _landmarks(often, sign, owner, telling, known, most: int) -> list[bytes]:
     """Greedy cover of words by telling substrings: each in turn has most occurrences of words
     not yet covered; of equal ones the longest."""

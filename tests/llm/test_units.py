@@ -173,6 +173,18 @@ def test_toxicity_learns_rare_insults():
         assert (clean < 0.5).mean() >= spared and clean.min() > 0
 
 
+def test_toxicity_weighs_words_by_class():
+    """An insult that a few clean documents quote as well."""
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(800)]
+    text = lambda n, *more: " ".join([*rng.sample(vocabulary, n), *more])
+    insults = ["gruzzwick", "plibfoot"]
+    rows = [(d, int(d < 300), text(9, insults[d % 2 if d < 300 else 0]) if d < 300 or d % 15 == 0 else text(9, "else")) for d in range(900)]
+    model = toxicity.train(rows)
+    toxic, clean = (model.curve(toxicity.Scorer(model).most_toxic([text(9, *more) for _ in range(100)])) for more in (insults[:1], ["else"]))
+    assert (toxic > 0.5).mean() >= 0.95 and (clean < 0.5).mean() >= 0.95
+
+
 def test_additive_quantisation_reduces_error_and_finds_neighbours():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 16))
