@@ -524,6 +524,18 @@ def connected_components(spark, sf_dir):
     return graph.connected_components(c.select(F.col("c_custkey").alias("a"), F.floor(F.col("c_custkey") / 3).cast("long").alias("b")))
 
 
+FOREST_SQL = """WITH RECURSIVE g AS (SELECT c_nationkey * 1000000000::BIGINT + c_custkey AS a, c_nationkey * 1000000000::BIGINT + c_custkey // 3 AS b FROM customer), l AS (SELECT a, b FROM g UNION ALL SELECT b, a FROM g),
+  reach(v, c) AS (SELECT a, a FROM l UNION SELECT l.b, r.c FROM reach r JOIN l ON l.a = r.v)"""
+
+
+@query(FOREST_SQL + " SELECT v AS node, min(c) AS component FROM reach GROUP BY v")
+def connected_components_whole(spark, sf_dir):
+    """Every customer is an edge; keys within nations give many components."""
+    key = lambda number: F.col("c_nationkey") * F.lit(1_000_000_000).cast("long") + number
+    c = table(spark, sf_dir, "customer")
+    return graph.connected_components(c.select(key(F.col("c_custkey")).alias("a"), key(F.floor(F.col("c_custkey") / 3).cast("long")).alias("b")))
+
+
 @query("""WITH RECURSIVE e AS (SELECT n_name AS component, c_custkey * 2 AS umi1, (c_custkey // 40) * 2 + 1 AS umi2 FROM customer JOIN nation ON c_nationkey = n_nationkey),
   n AS (SELECT component, umi1 AS umi FROM e UNION SELECT component, umi2 FROM e), g AS (SELECT DISTINCT umi1, umi2 FROM e), l AS (SELECT umi1 AS a, umi2 AS b FROM g UNION ALL SELECT umi2, umi1 FROM g),
   reach(v, c) AS (SELECT a, a FROM l UNION SELECT l.b, r.c FROM reach r JOIN l ON l.a = r.v), p AS (SELECT v AS umi, min(c) AS part FROM reach GROUP BY v),
@@ -638,6 +650,18 @@ def panel_diff(spark, sf_dir):
     return diff_panels(a, b)
 
 
+@query("""WITH a AS (SELECT p_partkey AS marker_id, p_brand AS sequence FROM part), b AS (SELECT CASE WHEN p_partkey % 4 = 0 THEN -1 - p_partkey ELSE p_partkey END AS marker_id, CASE WHEN p_partkey % 5 = 0 THEN p_type ELSE p_brand END AS sequence FROM part)
+  SELECT coalesce(a.marker_id, b.marker_id) AS marker_id, CASE WHEN a.marker_id IS NULL THEN 'added' WHEN b.marker_id IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.marker_id = b.marker_id WHERE a.marker_id IS NULL OR b.marker_id IS NULL OR a.sequence IS DISTINCT FROM b.sequence""")
+def panel_diff_whole(spark, sf_dir):
+    """Both panels hold every part; one part in four has another key in the second."""
+    from edgeloom.sources.panel import diff_panels
+
+    p, key = table(spark, sf_dir, "part"), F.col("p_partkey")
+    a = p.select(key.alias("marker_id"), F.col("p_brand").alias("sequence"))
+    b = p.select(F.when(key % 4 == 0, -1 - key).otherwise(key).alias("marker_id"), F.when(key % 5 == 0, F.col("p_type")).otherwise(F.col("p_brand")).alias("sequence"))
+    return diff_panels(a, b)
+
+
 @query(WITH_EDGES + NODES_SQL + """, ly AS (SELECT DISTINCT sample, component, umi AS index, (umi % 97)::DOUBLE AS x FROM nd) SELECT ly.sample, ly.component, ly.index, ly.x, """ + ", ".join(f"count(*) FILTER (marker = 'M{i}') AS M{i}" for i in range(8)) + " FROM ly LEFT JOIN nd ON nd.sample = ly.sample AND nd.component = ly.component AND nd.umi = ly.index GROUP BY ALL")
 def layouts_marker_counts(spark, sf_dir):
     from edgeloom.plans.dataset import layouts_with_markers

@@ -311,3 +311,28 @@ def test_differential_scores(spark):
     df = spark.createDataFrame(rows, "marker string, condition string, morans_i double")
     r = spatial.differential_scores(df, ["marker"], "condition", "r", "t", "morans_i").first()
     assert r["median_difference"] == -3.0 and r["p_adjusted"] == r["p_value"] < 0.1
+
+
+def test_whole_tables_reach_components_and_panels(spark):
+    from edgeloom.queries import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{folder}/customer.parquet").select("c_nationkey", "c_custkey").collect()
+    parent: dict[int, int] = {}
+
+    def root(v):
+        while parent.setdefault(v, v) != v:
+            v = parent[v]
+        return v
+
+    for nation, key in rows:
+        a, b = sorted((root(nation * 10**9 + key), root(nation * 10**9 + key // 3)))
+        parent[b] = a
+    got = {r["node"]: r["component"] for r in QUERIES["connected_components_whole"](spark, folder).collect()}
+    assert got == {v: root(v) for v in list(parent)} and len(set(got.values())) > 1
+    assert {n * 10**9 + k for n, k in rows} <= set(got)
+
+    keys = [r["p_partkey"] for r in spark.read.parquet(f"{folder}/part.parquet").collect()]
+    change = {r["marker_id"]: r["change"] for r in QUERIES["panel_diff_whole"](spark, folder).collect()}
+    expected = {k: "removed" for k in keys if k % 4 == 0} | {-1 - k: "added" for k in keys if k % 4 == 0} | {k: "changed" for k in keys if k % 5 == 0 and k % 4}
+    assert change == expected
