@@ -162,17 +162,20 @@ def most_common(df: DataFrame, by: list[str], column: str) -> DataFrame:
 
 
 def build_amplicons(reads: DataFrame, linkers: dict[str, tuple[int, str]], regions: dict[str, tuple[int, int]], length: int, share: float = 0.1) -> DataFrame:
-    """reads(name, r1, r2) to (name, amplicon, regions..., reason).
+    """reads(name, r1, r2, q1, q2) to (name, amplicon, quality, regions..., reason).
 
     Read 2 is turned to read 1's strand. Each linker is sought within ``share``
     mismatches near its place in either read; the read's offset follows from the
-    best hit, or is taken as anchored. Bases that both reads cover come from read 1
-    where it has one, gaps are N; a read without any linker fails.
+    best hit, or is taken as anchored. Of bases that both reads cover the one of higher
+    quality is taken, of equal ones read 2's, an N only where neither has a base; the
+    quality is the higher one. Gaps are N of the lowest quality; a read without any
+    linker fails. Without q1 and q2 all qualities are equal.
     """
     from edgeloom.functions.scalar import reverse_complement
 
-    turned = reads.select("name", "r1", reverse_complement(F.col("r2")).alias("r2"))
-    schema = "name string, amplicon string, reason string"
+    q1, q2 = (F.col(q) if q in reads.columns else F.lit("") for q in ("q1", "q2"))
+    turned = reads.select("name", "r1", reverse_complement(F.col("r2")).alias("r2"), q1.alias("q1"), F.reverse(q2).alias("q2"))
+    schema = "name string, amplicon string, quality string, reason string"
 
     def place(read: str, first_guess: int) -> tuple[int, bool]:
         best = (1.0, first_guess, False)
@@ -192,16 +195,18 @@ def build_amplicons(reads: DataFrame, linkers: dict[str, tuple[int, str]], regio
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for name, r1, r2 in zip(pdf["name"], pdf["r1"], pdf["r2"]):
-                base, found = ["N"] * length, False
-                for read, guess in ((r2 or "", length - len(r2 or "")), (r1 or "", 0)):
+            for name, r1, r2, q1, q2 in zip(pdf["name"], pdf["r1"], pdf["r2"], pdf["q1"], pdf["q2"]):
+                base, quality, found = ["N"] * length, ["!"] * length, False
+                for read, grades, guess in ((r2 or "", q2 or "", length - len(r2 or "")), (r1 or "", q1 or "", 0)):
                     at, hit = place(read, guess)
                     found |= hit
-                    for i, c in enumerate(read):
-                        if 0 <= at + i < length and c != "N":
-                            base[at + i] = c
-                out.append((name, "".join(base), None if found else "no_linker"))
-            yield pd.DataFrame(out, columns=["name", "amplicon", "reason"])
+                    for i, (c, q) in enumerate(zip(read, grades.ljust(len(read), "!"))):
+                        if 0 <= at + i < length:
+                            if c != "N" and (base[at + i] == "N" or q > quality[at + i]):
+                                base[at + i] = c
+                            quality[at + i] = max(quality[at + i], q)
+                out.append((name, "".join(base), "".join(quality), None if found else "no_linker"))
+            yield pd.DataFrame(out, columns=["name", "amplicon", "quality", "reason"])
 
     built = turned.mapInPandas(run, schema)
     return built.select("*", *[F.substring("amplicon", lo + 1, hi - lo).alias(n) for n, (lo, hi) in regions.items()])

@@ -165,6 +165,16 @@ def test_reads(spark):
     assert got["y"]["reason"] == "no_linker"
 
 
+def test_amplicon_takes_the_better_base(spark):
+    linkers = {"l": (4, "GATTACAGAT")}
+    rows = [("low1", "TCGTGATTACAGATTT", "AAATCTGTAATCACGT", "#" + "I" * 15, "I" * 16), ("low2", "TCGTGATTACAGATTT", "AAATCTGTAATCACGT", "I" * 16, "I" * 15 + "#")]
+    rows += [("tie", "TCGTGATTACAGATTT", "AAATCTGTAATCACGT", "I" * 16, "I" * 16), ("n", "TCGTGATTACAGATTT", "AAATCTGTAATCACGN", "#" * 16, "I" * 16), ("alone", "ACGTGATTACAGATTT", None, "5" * 16, None)]
+    r = spark.createDataFrame(rows, "name string, r1 string, r2 string, q1 string, q2 string")
+    got = {x["name"]: x for x in reads.build_amplicons(r, linkers, {"umi": (0, 4)}, 16).collect()}
+    assert {k: x["umi"] for k, x in got.items()} == {"low1": "ACGT", "low2": "TCGT", "tie": "ACGT", "n": "TCGT", "alone": "ACGT"}
+    assert all(x["quality"] == ("5" if k == "alone" else "I") * 16 and x["reason"] is None for k, x in got.items())
+
+
 def test_barcodes_with_two_mismatches(spark):
     known = spark.createDataFrame([("AAAAAA", "a"), ("CCCCCC", "c")], "barcode string, marker string")
     r = spark.createDataFrame([("AAAAAA",), ("AACAAC",), ("CCGGGC",), (None,)], "barcode string")
