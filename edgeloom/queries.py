@@ -676,12 +676,12 @@ def layouts_marker_counts(spark, sf_dir):
 
 @query()
 def proximity_permuted(spark, sf_dir):
-    return rounded(proximity.permuted(edgelist(spark, sf_dir), permutations=50, min_count=10))
+    return rounded(proximity.permuted(edgelist(spark, sf_dir), permutations=100, min_count=10))
 
 
 @query()
 def polarization_permuted(spark, sf_dir):
-    return rounded(spatial.permuted_morans_i(edgelist(spark, sf_dir), permutations=20))
+    return rounded(spatial.permuted_morans_i(edgelist(spark, sf_dir), permutations=50))
 
 
 @query()
@@ -691,7 +691,7 @@ def leiden_communities(spark, sf_dir):
 
 @query()
 def pmds_layout(spark, sf_dir):
-    return rounded(graph.normalise_layout(graph.pivot_layout(edgelist(spark, sf_dir), pivots=20)), 3)
+    return rounded(graph.normalise_layout(graph.pivot_layout(edgelist(spark, sf_dir), pivots=50)), 3)
 
 
 @query()

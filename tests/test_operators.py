@@ -346,3 +346,15 @@ def test_whole_tables_reach_components_and_panels(spark):
     change = {r["marker_id"]: r["change"] for r in QUERIES["panel_diff_whole"](spark, folder).collect()}
     expected = {k: "removed" for k in keys if k % 4 == 0} | {-1 - k: "added" for k in keys if k % 4 == 0} | {k: "changed" for k in keys if k % 5 == 0 and k % 4}
     assert change == expected
+
+
+def test_seeded_queries_run_at_the_defaults(spark, monkeypatch):
+    from edgeloom import queries
+
+    seen = {}
+    for module, name, key in ((queries.proximity, "permuted", "permutations"), (queries.spatial, "permuted_morans_i", "permutations"), (queries.graph, "pivot_layout", "pivots")):
+        f = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, f=f, name=name, key=key, **b: (seen.update({name: b[key]}), f(*a, **b))[1])
+    for name in ("proximity_permuted", "polarization_permuted", "pmds_layout"):
+        queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert seen == {"permuted": 100, "permuted_morans_i": 50, "pivot_layout": 50}
