@@ -1,31 +1,39 @@
-"""Toxicity by a subsequence string kernel SVM with Nyström landmarks.
-
-The kernel compares two words by their common three-letter subsequences, each
-weighted by ``DECAY`` to the length it spans, so gaps and inserted letters cost
-a little instead of hiding the word. Punctuation inside a word is dropped and
-letters that stand alone in a row are also read as one word, which covers
-"i.d.i.o.t" and "i d i o t". A linear SVM over Nyström features (kernel values
-at landmark words, whitened) is trained on single words, not on sentences: on
-those that toxic documents have and clean ones lack or have far more rarely, against
-the words of clean documents, hardest first, over a few rounds. Variants of toxic
-words with an inserted letter are trained along. Insults made of several ordinary
-words, or split over two words, are therefore missed.
-
-A document scores by its most toxic word; a logistic curve fitted on the
-training documents maps that to 0..1. The trained model folds into one table
-of subsequence weights (64^3 numbers), so scoring never touches landmarks.
-
-How it scales: training sees at most ``TOXIC_DOCS`` + ``CLEAN_DOCS`` labelled
-documents of at most ``SENTENCES`` sentences each (the documented bound; all
-other labels are unused). Scoring is one pass without shuffle over whole texts;
-words repeat, so each is scored once per task while it stays in a bounded table.
-
-Defined cases: null or blank texts score as a document without words (the
-curve's lowest value); without toxic training rows, or where no substring stands out and
-a class has a single document, every score is 0; rows of
+"""Toxicity by a subsequence string kernel SVM on sentences, with Nyström landmarks.
+
+The kernel compares two words by their common three-letter subsequences, each weighted
+by ``DECAY`` to the length it spans, so gaps and inserted letters cost a little instead
+of hiding the word. A linear SVM over its Nyström features (kernel values at landmark
+words, whitened) is trained on labelled sentences as in multiple-instance learning
+(MI-SVM, Andrews et al., 2002): a sentence is toxic where one of its words is, its
+witness, and clean where none is. Labels belong to documents, so of a toxic document
+the sentence that scores highest is positive (at first the one with the word that tells
+toxic sentences apart best), and so is every other one with a word far apart that
+scores as toxic; of clean documents all sentences are negative, of whose words the
+hardest join round by round. A word weighs by the root of the number of sentences it
+stands for, and may stand on both sides. Positive sentences are trained again with a letter inserted into
+their witness. An insult of several ordinary words has no witness and is missed, and so
+is one split over two words.
+
+A sentence ends at . ! ? or a line's end. Punctuation inside a word is dropped and
+letters that stand alone in a row are also read as one word, which covers "i.d.i.o.t"
+and "i d i o t". A document scores by its most toxic sentence; a logistic curve maps
+that to 0..1, fitted on the training documents, for which a third of the clean ones
+are kept out of the SVM's training. The trained model folds into one table of
+subsequence weights (64^3 numbers), so scoring never touches landmarks.
+
+How it scales: training takes whole documents, in the order of their ids' hashes, at
+most ``TOXIC_DOCS`` + ``CLEAN_DOCS`` of them and at most ``TRAIN_BYTES`` of text a class
+(the documented bound of the sample: documents that fit what is left of it, the shortest
+one where none fits). Scoring is one pass without
+shuffle over whole texts; words repeat, so each is scored once per task while it stays
+in a bounded table.
+
+Defined cases: null or blank texts score as a document without words; without a toxic or
+without a clean training row there is nothing to learn and every score is 0; rows of
 null doc_id are scored and not held out; repeated rows score alike; label rows
-with null doc_id or toxic are ignored; an empty table gives an empty result;
-other columns are ignored.
+with null doc_id or toxic are ignored; very long texts are read whole, words beyond
+``LONGEST`` letters in half overlapping windows; an empty table gives an empty result;
+other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -38,15 +46,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import PIECE_BYTES, Words
+from edgeloom.llm.common import PIECE_BYTES, Words, mix64
 
 DECAY = 0.5
 LONGEST = 24  # longer words are read in windows of this many letters, half overlapping
-LANDMARKS = 640  # as many as cover the telling words, 160 at least
+LANDMARKS = 640  # at most; 7/8 words that tell the classes apart, the rest clean ones
 TOXIC_DOCS = 1200
 CLEAN_DOCS = 2400
-SENTENCES = 300
+TRAIN_BYTES = 6 << 20
+NEGATIVES = 4000  # words of clean sentences drawn for the first round; half as many of the hardest join each later one
 ROUNDS = 4
+BENT = 4  # times a positive sentence is trained with a letter inserted
+COST = 100.0
+REJECTED = 0.05  # of the clean documents kept aside, at most
+CHANCE = 0.05  # that any word at all is taken for one far apart
 CACHE = 400_000
 
 _SPACE, _DROP = 0x20, 0
@@ -70,41 +83,58 @@ def _letter_table() -> np.ndarray:
 _LETTERS = _letter_table()
 
 
-def letters(texts: list[str]) -> Words:
-    """Words of lower-cased texts in letter classes, and runs of single letters as extra words."""
+#: Code points that end a sentence: . ! ? line feed and their full-width forms.
+_STOPS = np.zeros(65_536, dtype=bool)
+_STOPS[[0x0A, 0x0D, 0x21, 0x2E, 0x3F, 0x2028, 0x2029, 0x3002, 0xFF01, 0xFF1F]] = True
+
+
+def letters(texts: list[str]) -> tuple[Words, np.ndarray]:
+    """Words of lower-cased texts in letter classes, runs of single letters as extra words,
+    and each word's sentence: numbers that ascend within a text."""
     lowered = [t.lower() for t in texts]
     cp = np.frombuffer("\n".join([*lowered, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    cls = np.where(cp < 65_536, _LETTERS[np.minimum(cp, 65_535)], (0x40 + 37 + cp % 27).astype(np.uint8))
-    keep = cls != _DROP
-    before = np.concatenate([[0], np.cumsum(keep)])
+    low = np.minimum(cp, 65_535)
+    cls = np.where(cp < 65_536, _LETTERS[low], (0x40 + 37 + cp % 27).astype(np.uint8))
+    stops = np.cumsum(_STOPS[low] & (cp < 65_536))
+    keep = np.flatnonzero(cls != _DROP)
     ends = np.cumsum([len(t) + 1 for t in lowered]) if lowered else np.zeros(0, np.int64)
-    offsets = before[np.concatenate([[0], ends]).astype(np.int64)]
+    offsets = np.searchsorted(keep, np.concatenate([[0], ends]))
     words = Words(cls[keep], offsets)
+    sentence = _spans(words, stops[keep[words.starts]])
     single = words.ends - words.starts == 1
     if not single.any():
-        return words
+        return words, sentence
     # Runs of three or more single letters in one text.
     doc = words.doc_of()
     edge = np.ones(len(single), dtype=bool)
     edge[1:] = (single[1:] != single[:-1]) | (doc[1:] != doc[:-1])
     heads = np.flatnonzero(edge)
     tails = np.append(heads[1:], len(single))
-    runs = [(h, t) for h, t in zip(heads, tails) if single[h] and t - h >= 3]
-    if not runs:
-        return words
-    parts, at, data = [], 0, words.data
+    long = np.flatnonzero(single[heads] & (tails - heads >= 3))
+    if not len(long):
+        return words, sentence
     extra: dict[int, list[bytes]] = {}
-    for h, t in runs:
-        extra.setdefault(int(doc[h]), []).append(data[words.starts[h:t]].tobytes())
-    out_offsets = [0]
+    for h, t in zip(heads[long], tails[long]):
+        extra.setdefault(int(doc[h]), []).append(words.data[words.starts[h:t]].tobytes())
+    parts, numbers, next_number = [], [], int(sentence.max()) + 1
     for d in range(len(lowered)):
-        raw = data[offsets[d] : offsets[d + 1]].tobytes()
-        if d in extra:
-            raw = raw + b" " + b" ".join(extra[d])
-        parts.append(raw)
-        at += len(raw)
-        out_offsets.append(at)
-    return Words(np.frombuffer(b"".join(parts), np.uint8), np.array(out_offsets))
+        raw = words.data[offsets[d] : offsets[d + 1]].tobytes()
+        own = extra.get(d, [])
+        parts.append(raw + b" " + b" ".join(own) if own else raw)
+        numbers += [sentence[words.bounds[d] : words.bounds[d + 1]], next_number + np.arange(len(own))]
+        next_number += len(own)
+    edges = np.cumsum([0] + [len(p) for p in parts])
+    return Words(np.frombuffer(b"".join(parts), np.uint8), edges), np.concatenate(numbers)
+
+
+def _spans(words: Words, stops: np.ndarray) -> np.ndarray:
+    """Number of each word's sentence: a new one in each text and after each stop."""
+    if not len(words):
+        return np.zeros(0, np.int64)
+    doc = words.doc_of()
+    new = np.ones(len(stops), dtype=bool)
+    new[1:] = (stops[1:] != stops[:-1]) | (doc[1:] != doc[:-1])
+    return np.cumsum(new) - 1
 
 
 def _rows(words: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -146,13 +176,13 @@ class Table:
 
     def fold(self, weights: np.ndarray) -> Table:
         """One weighted sum of the columns for each of the 64^3 codes."""
-        return Table((self.rows @ weights)[self.index])
+        return Table((self.rows.astype(np.float64) @ weights)[self.index])
 
 
 def _subsequences(m: np.ndarray, table: Table, decay: float = DECAY) -> np.ndarray:
     """Sum over each row's three-letter subsequences of decay^span x table[code]."""
     n, length = m.shape
-    out = np.zeros((n, *table.rows.shape[1:]), dtype=np.float64)
+    out = np.zeros((n, *table.rows.shape[1:]), dtype=table.rows.dtype)
     for i in range(length - 2):
         first = m[:, i] << 12
         for k in range(i + 2, length):
@@ -165,7 +195,7 @@ def _subsequences(m: np.ndarray, table: Table, decay: float = DECAY) -> np.ndarr
 
 
 def _embed(words: list[bytes]) -> Table:
-    """Unit-length subsequence features of words, one column each."""
+    """Unit-length subsequence features of words (windows of at most LONGEST letters), one column each."""
     features: list[dict[int, float]] = []
     for w in words:
         m = np.frombuffer(w, np.uint8).astype(np.int64) - 0x40
@@ -179,7 +209,7 @@ def _embed(words: list[bytes]) -> Table:
     codes = sorted({c for own in features for c in own})
     index = np.zeros(64**3, np.int32)
     index[codes] = np.arange(1, len(codes) + 1)
-    rows = np.zeros((len(codes) + 1, len(words)))
+    rows = np.zeros((len(codes) + 1, len(words)), np.float32)
     for column, own in enumerate(features):
         norm = np.sqrt(sum(v * v for v in own.values()))
         for c, v in own.items():
@@ -189,28 +219,33 @@ def _embed(words: list[bytes]) -> Table:
 
 def kernel(words: list[bytes], table: Table) -> np.ndarray:
     """Normalised kernel of words (3 to LONGEST letters) with the columns of ``_embed``; others 0."""
-    out = np.zeros((len(words), *table.rows.shape[1:]))
+    out = np.zeros((len(words), *table.rows.shape[1:]), table.rows.dtype)
     for length, (index, m) in _rows(words).items():
         if 3 <= length <= LONGEST:
-            for lo in range(0, len(index), 2048):
-                part = m[lo : lo + 2048]
+            step = 2048 if table.index is None else 256
+            for lo in range(0, len(index), step):
+                part = m[lo : lo + step]
                 scale = np.sqrt(self_kernel(part))
                 value = _subsequences(part, table)
-                out[index[lo : lo + 2048]] = value / (scale[:, None] if value.ndim == 2 else scale)
+                out[index[lo : lo + step]] = value / (scale[:, None] if value.ndim == 2 else scale)
     return out
 
 
-def train_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int = 30, seed: int = 5) -> np.ndarray:
-    """Weights of a linear hinge-loss SVM by dual coordinate descent; the last feature is the bias."""
+def train_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int = 60, seed: int = 5) -> np.ndarray:
+    """Weights of a linear hinge-loss SVM by dual coordinate descent; the last feature is the
+    bias. An epoch visits only the instances that its start finds in breach of optimality."""
     rng = np.random.default_rng(seed)
+    x = np.ascontiguousarray(x, np.float64)
     w, alpha = np.zeros(x.shape[1]), np.zeros(len(x))
     square = (x**2).sum(axis=1)
     for _ in range(epochs):
-        for i in rng.permutation(len(x)):
-            if square[i] == 0:
-                continue
-            step = (y[i] * (x[i] @ w) - 1) / square[i]
-            new = min(max(alpha[i] - step, 0.0), cost[i])
+        slope = y * (x @ w) - 1
+        breach = np.where(alpha <= 0, np.maximum(-slope, 0), np.where(alpha >= cost, np.maximum(slope, 0), np.abs(slope)))
+        open_now = np.flatnonzero((breach > 1e-3) & (square > 0))
+        if not len(open_now):
+            break
+        for i in rng.permutation(open_now):
+            new = min(max(alpha[i] - (y[i] * (x[i] @ w) - 1) / square[i], 0.0), cost[i])
             if new != alpha[i]:
                 w += (new - alpha[i]) * y[i] * x[i]
                 alpha[i] = new
@@ -227,7 +262,11 @@ class Model:
     offset: float
 
     def words(self, words: list[bytes]) -> np.ndarray:
-        return kernel(words, self.table) + self.bias
+        """Score of each spelled word: the most of its windows."""
+        pieces, owner = _windows_of(words)
+        out = np.full(len(words), -np.inf)
+        np.maximum.at(out, owner, kernel(pieces, self.table))
+        return out + self.bias
 
     def curve(self, value: np.ndarray) -> np.ndarray:
         return 1.0 / (1.0 + np.exp(-np.clip(self.slope * value + self.offset, -700, 700)))
@@ -242,8 +281,8 @@ class Scorer:
         self.value = np.zeros(0, np.float32)
 
     def most_toxic(self, texts: list[str]) -> np.ndarray:
-        """The largest word score of each text; the bias alone without a word."""
-        words = letters(texts)
+        """The score of each text's most toxic sentence, which is its most toxic word's; the bias alone without a word."""
+        words, _ = letters(texts)
         out = np.full(len(texts), self.model.bias)
         if not len(words):
             return out
@@ -257,13 +296,7 @@ class Scorer:
         new = np.flatnonzero(~hit)
         if len(new):
             data = words.data
-            pieces, owner = [], []
-            for slot, w in zip(new, first[new]):
-                for piece in windows(data[words.starts[w] : words.ends[w]].tobytes()):
-                    pieces.append(piece)
-                    owner.append(slot)
-            score[new] = -np.inf
-            np.maximum.at(score, owner, self.model.words(pieces).astype(np.float32))
+            score[new] = self.model.words([data[words.starts[w] : words.ends[w]].tobytes() for w in first[new]])
             if len(self.known) + len(new) > CACHE:
                 self.known, self.value = unique, score
             else:
@@ -284,267 +317,198 @@ def windows(word: bytes) -> list[bytes]:
     return [word[s : s + LONGEST] for s in starts]
 
 
-def train(sentences: list[tuple[int, int, str]], seed: int = 11) -> Model | None:
-    """Model from (document, label, sentence); None where nothing sets toxic sentences apart."""
-    if not sentences:
-        return None
+def _windows_of(words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    pieces = [windows(w) for w in words]
+    return [p for own in pieces for p in own], np.repeat(np.arange(len(words)), [len(own) for own in pieces])
+
+
+class Sample:
+    """Labelled documents as distinct sentences of numbered words.
+
+    A sentence that several documents have (copies, boilerplate) is one instance, and
+    clean where any clean document has it.
+    """
+
+    def __init__(self, documents: list[tuple[int, int, str]], chunk: int = 1 << 20):
+        number: dict[bytes, int] = {}
+        ids: dict[int, int] = {}
+        flat, sizes, keys, docs = [], [], [], []
+        names: dict[int, int] = {}
+        labels: dict[int, int] = {}
+        lo = 0
+        while lo < len(documents):
+            hi, size = lo, 0
+            while hi < len(documents) and (hi == lo or size + len(documents[hi][2]) <= chunk):
+                size += len(documents[hi][2])
+                hi += 1
+            words, sentence = letters([t for _, _, t in documents[lo:hi]])
+            own = [names.setdefault(d, len(names)) for d, _, _ in documents[lo:hi]]
+            labels |= {names[d]: t for d, t, _ in documents[lo:hi]}
+            lo = hi
+            if not len(words):
+                continue
+            hashes, first, back = np.unique(words.hashes(), return_index=True, return_inverse=True)
+            for h, f in zip(hashes.tolist(), first.tolist()):
+                if h not in ids:
+                    ids[h] = number.setdefault(words.data[words.starts[f] : words.ends[f]].tobytes(), len(number))
+            flat.append(np.array([ids[h] for h in hashes.tolist()])[back])
+            heads = np.flatnonzero(np.diff(sentence, prepend=-1))
+            sizes.append(np.diff(np.append(heads, len(sentence))))
+            place = np.arange(len(sentence)) - np.repeat(heads, sizes[-1])
+            keys.append(np.add.reduceat(mix64(words.hashes() ^ mix64(place.astype(np.uint64))), heads))
+            docs.append(np.array(own)[words.doc_of()[heads]])
+        self.spelled = list(number)
+        #: per document: label
+        self.label = np.array([labels[d] for d in range(len(labels))], dtype=np.int64)
+        none = np.zeros(0, np.int64)
+        flat, sizes, docs = (np.concatenate(c) if c else none for c in (flat, sizes, docs))
+        keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+        _, first, back = np.unique(keys, return_index=True, return_inverse=True)
+        starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        #: distinct words of sentence i: self.words[self.bounds[i] : self.bounds[i + 1]]
+        listed = [np.unique(flat[starts[f] : starts[f + 1]]) for f in first]
+        self.words = np.concatenate(listed) if listed else none
+        self.bounds = np.cumsum([0] + [len(own) for own in listed])
+        #: (document, sentence) pairs
+        self.doc, self.sentence = docs, back
+        self.clean = np.zeros(len(first), dtype=bool)
+        self.clean[back[self.label[docs] == 0]] = True
+
+    def __len__(self) -> int:
+        return len(self.bounds) - 1
+
+    def of_word(self) -> np.ndarray:
+        """Sentence of each entry of ``words``."""
+        return np.repeat(np.arange(len(self)), np.diff(self.bounds))
+
+    def most(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(largest word value of each sentence, the word that has it)."""
+        order = np.lexsort((self.words, value[self.words], self.of_word()))
+        last = order[self.bounds[1:] - 1]
+        return value[self.words[last]], self.words[last]
+
+    def largest(self, score: np.ndarray, empty: float) -> np.ndarray:
+        """Largest sentence score of each document."""
+        out = np.full(len(self.label), -np.inf)
+        np.maximum.at(out, self.doc, score[self.sentence])
+        out[np.isinf(out)] = empty
+        return out
+
+
+def contrast(sample: Sample, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(root of twice the log-likelihood ratio by which each word sets toxic sentences apart,
+    negative unless most sentences that have it are toxic; clean sentences that have it)
+    over the sentences marked in ``used``."""
+    size = max(len(sample.spelled), 1)
+    pairs = np.unique(sample.of_word() * size + sample.words)
+    sentence, word = pairs // size, pairs % size
+    toxic = used & ~sample.clean
+    clean = used & sample.clean
+    t, c = (np.bincount(word[mark[sentence]], minlength=size)[: len(sample.spelled)] for mark in (toxic, clean))
+    share = max(int(toxic.sum()), 1) / max(int(toxic.sum()) + int(clean.sum()), 2)
+    expected_t, expected_c = (t + c) * share, (t + c) * (1 - share)
+    gain = t * np.log(np.maximum(t, 1e-9) / np.maximum(expected_t, 1e-9)) + c * np.log(np.maximum(c, 1e-9) / np.maximum(expected_c, 1e-9))
+    return np.where((t > c) & (t > expected_t), 1.0, -1.0) * np.sqrt(2 * np.maximum(gain, 0)), c
+
+
+def train(documents: list[tuple[int, int, str]], seed: int = 11) -> Model | None:
+    """Model from (document, label, text); None without a document of each label."""
     rng = np.random.default_rng(seed)
-    sentences = _distinct_documents(sentences)
-    back, spelled, sentence = _vocabulary([s for _, _, s in sentences])
-    label_of = np.array([t for _, t, _ in sentences])
-    names, doc_of = np.unique([d for d, _, _ in sentences], return_inverse=True)
-    doc, label = doc_of[sentence], label_of[sentence]
-    toxic_n, clean_n = (len(np.unique(doc_of[label_of == t])) for t in (1, 0))
-    if not toxic_n or not clean_n:
+    sample = Sample(documents)
+    if len(np.unique(sample.label)) < 2 or not len(sample):
         return None
-    in_toxic, in_clean_docs = (np.unique(doc[label == t] * len(spelled) + back[label == t]) for t in (1, 0))
-    known, sign, owner = _known_pieces(spelled, np.unique(in_toxic % len(spelled)))
-    found = _significant(in_toxic, in_clean_docs, sign, owner, len(known), len(spelled), toxic_n, clean_n)
-    rest = None
-    if not len(found):
-        # Where no substring stands out, all words of toxic sentences are trained on, in one
-        # half of the documents; the other half tells how far they may be trusted.
-        y = np.zeros(len(names))
-        y[doc_of] = label_of
-        halves = [rng.permutation(np.flatnonzero(y == t)) for t in (1, 0)]
-        if min(len(h) for h in halves) < 2:
-            return None
-        rest = np.zeros(len(names), dtype=bool)
-        rest[np.concatenate([h[1::2] for h in halves])] = True
-        in_toxic, in_clean_docs = (pairs[~rest[pairs // len(spelled)]] for pairs in (in_toxic, in_clean_docs))
-    in_docs = np.bincount(in_clean_docs % len(spelled), minlength=len(spelled))
-    marked = np.zeros(len(spelled), dtype=bool)
-    telling = np.zeros(len(known), dtype=bool)
-    often = np.bincount(in_toxic % len(spelled), minlength=len(spelled))
-    telling[found if rest is None else slice(None)] = True
-    marked[owner[telling[sign]]] = True
-    marked &= often > 0
-    # A word is toxic by its class frequencies even where clean documents have it as well.
-    sided = _sided(often, in_docs, *((len(np.unique(pairs // len(spelled))) for pairs in (in_toxic, in_clean_docs))))
-    marked |= sided
-    in_clean = (in_docs > 0) & ~sided
-
-    clean_words = [p for w in np.flatnonzero(in_clean) for p in windows(spelled[w])]
-    clean_docs: dict[bytes, int] = {}
-    for w in np.flatnonzero(in_clean):
-        for piece in windows(spelled[w]):
-            clean_docs[piece] = max(clean_docs.get(piece, 0), int(in_docs[w]))
-    toxic_only = np.flatnonzero(~in_clean & (often > 0))
-    if not marked[toxic_only].any() or rest is not None:
-        toxic_only = np.flatnonzero(marked)
-    told = sorted(toxic_only[marked[toxic_only]], key=lambda w: (-often[w], spelled[w]))
-    sure = [p for w in told for p in windows(spelled[w])]
-    toxic_docs = {p: max(1, int(often[w] - in_docs[w])) for w in told for p in windows(spelled[w])}
-    if not sure:
+    # Clean documents kept for the curve; their sentences train nothing, unless others have them.
+    clean_docs = rng.permutation(np.flatnonzero(sample.label == 0))
+    aside = np.zeros(len(sample.label), dtype=bool)
+    aside[clean_docs[: len(clean_docs) // 3]] = True
+    used = np.zeros(len(sample), dtype=bool)
+    used[sample.sentence[~aside[sample.doc]]] = True
+    apart, in_clean = contrast(sample, used)
+
+    space = _Space(sample.spelled, _landmarks(sample, apart, in_clean, rng))
+    positive_at = np.flatnonzero(~sample.clean[sample.sentence] & used[sample.sentence])
+    negative_all = np.flatnonzero(sample.clean & used)
+    if not len(positive_at) or not len(negative_all):
         return None
-    landmarks = _landmarks(often, sign, owner, telling, known, LANDMARKS * 7 // 8)
-    covered = kernel(sure, _embed(landmarks)).max(axis=1) if landmarks else np.zeros(len(sure))
-    landmarks += [sure[i] for i in np.flatnonzero(covered < 0.9)[: LANDMARKS * 7 // 8 - len(landmarks)]]
-    landmarks += [clean_words[i] for i in rng.permutation(len(clean_words))[: max(160, len(landmarks) * 8 // 7) - len(landmarks)]]
-    table = _embed(landmarks)
-    gram = kernel(landmarks, table)
-    values, vectors = np.linalg.eigh((gram + gram.T) / 2)
-    good = values > 1e-6
-    whiten = vectors[:, good] / np.sqrt(values[good])
-
-    pick = lambda items, most: [items[i] for i in sorted(rng.permutation(len(items))[:most])]
-    positive = sure[:1000] + pick(sure[1000:], 1000)
-    negative = pick(clean_words, 3000)
-    other = [p for w in toxic_only if not marked[w] for p in windows(spelled[w])]
+    score, witness = sample.most(apart)
+    marked = positive_at[score[sample.sentence[positive_at]] >= np.sqrt(2 * np.log(len(sample.spelled) / CHANCE))]
+    clean_words = np.flatnonzero(in_clean > 0)
+    negative = rng.permutation(clean_words)[:NEGATIVES]
     model = None
     for turn in range(ROUNDS):
-        bent = [_insert(w, rng) for w in positive]
-        x = kernel(positive + bent + negative, table) @ whiten
-        x = np.hstack([x, np.ones((len(x), 1))])
-        y = np.array([1.0] * (2 * len(positive)) + [-1.0] * len(negative))
-        # A word and its variants weigh by the documents that have it, which all depend on it.
-        weight = [toxic_docs.get(v, 1) for v in positive] * 2 + [clean_docs[v] for v in negative]
-        w = train_svm(x, y, 10.0 * np.minimum(100, 1 + np.array(weight)))
-        model = Model(table.fold(whiten @ w[:-1]), float(w[-1]), 1.0, 0.0)
-        if turn + 1 == ROUNDS:
-            break
-        # The hardest clean words join the negatives; a word that occurs in toxic
-        # sentences only is a witness where it scores above every clean word.
-        clean_score = model.words(clean_words)
-        negative = sorted(set(negative) | {clean_words[i] for i in np.argsort(-clean_score)[:1500]})
-        score = model.words(other) if other else np.zeros(0)
-        witness = [other[i] for i in np.flatnonzero(score > clean_score.max(initial=0.0))]
-        positive = sorted(set(positive) | set(pick(witness, 800)))
-    return _calibrate(model, spelled, back, doc, label_of, doc_of, len(names), rest)
-
-
-def _pieces(spelled: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(code, word) of each word's distinct substrings of 4 to 6 letters, boundary marks
-    included, and of whole words of 5 to 7 letters."""
-    data = np.frombuffer(b" ".join([*(EDGE + w + EDGE for w in spelled), b""]), np.uint8)
-    lengths = np.array([len(w) + 2 for w in spelled])
-    starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
-    signs, owner = [], []
-    for n in (4, 5, 6):
-        room = np.maximum(lengths - n + 1, 0)
-        word = np.repeat(np.arange(len(spelled)), room)
-        at = np.arange(len(word)) - np.repeat(np.cumsum(room) - room, room) + starts[word]
-        value = np.zeros(len(at), np.uint64)
-        for i in range(n):
-            value = value << np.uint64(7) | data[at + i].astype(np.uint64)
-        signs.append(value)
-        owner.append(word)
-    for n in (7, 8, 9):
-        whole = np.flatnonzero(lengths == n)
-        value = np.zeros(len(whole), np.uint64)
-        for i in range(n):
-            value = value << np.uint64(7) | data[starts[whole] + i].astype(np.uint64)
-        signs.append(value)
-        owner.append(whole)
-    return np.concatenate(signs), np.concatenate(owner)
-
-
-def _vocabulary(texts: list[str], chunk: int = 10_000) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """(word number, spellings, text index) of all words, a chunk of texts in memory at a time."""
-    known: dict[int, int] = {}
-    spelled: list[bytes] = []
-    numbers, at = [], []
-    for lo in range(0, len(texts), chunk):
-        words = letters(texts[lo : lo + chunk])
-        hashes, first, back = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        own = np.empty(len(hashes), np.int64)
-        for k, (h, f) in enumerate(zip(hashes.tolist(), first.tolist())):
-            number = known.setdefault(h, len(spelled))
-            if number == len(spelled):
-                spelled.append(words.data[words.starts[f] : words.ends[f]].tobytes())
-            own[k] = number
-        numbers.append(own[back])
-        at.append(words.doc_of() + lo)
-    return np.concatenate(numbers), spelled, np.concatenate(at)
-
-
-def _known_pieces(spelled: list[bytes], toxic_words: np.ndarray, chunk: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(codes, code number, word): the substrings of toxic documents' words, wherever they occur."""
-    codes, words = _pieces([spelled[w] for w in toxic_words])
-    known, number = np.unique(codes, return_inverse=True)
-    signs, owners = [number.astype(np.int32)], [toxic_words[words].astype(np.int32)]
-    rest = np.setdiff1d(np.arange(len(spelled)), toxic_words)
-    for lo in range(0, len(rest), chunk):
-        part = rest[lo : lo + chunk]
-        codes, words = _pieces([spelled[w] for w in part])
-        at = np.searchsorted(known, codes)
-        at[at == len(known)] = 0
-        hit = known[at] == codes
-        signs.append(at[hit].astype(np.int32))
-        owners.append(part[words[hit]].astype(np.int32))
-    return known, np.concatenate(signs), np.concatenate(owners)
-
-
-def _distinct_documents(sentences: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Sentences of the documents most of whose sentences no earlier document has: a
-    group of copies would make every word of theirs look telling."""
-    by: dict[int, list[tuple[int, int, str]]] = {}
-    for row in sentences:
-        by.setdefault(row[0], []).append(row)
-    seen: set[str] = set()
-    out = []
-    for rows in by.values():
-        own = {s for _, _, s in rows}
-        if len(own & seen) * 3 <= len(own):
-            out += rows
-        seen |= own
-    return out
+        also = marked if turn == 0 else marked[score[sample.sentence[marked]] > 0]
+        positive = np.unique(np.concatenate([_best_of(sample, positive_at, score), sample.sentence[also]]))
+        told, times = np.unique(witness[positive], return_counts=True)
+        bent = [_bend(sample.spelled[w], rng) for w in told for _ in range(BENT)]
+        x = np.vstack([space.words([sample.spelled[w] for w in told] + bent), space.words([sample.spelled[w] for w in negative])])
+        y = np.repeat([1.0, -1.0], [len(told) * (1 + BENT), len(negative)])
+        weight = np.concatenate([times, np.repeat(times, BENT) / BENT**2, in_clean[negative]])
+        w = train_svm(np.hstack([x, np.ones((len(x), 1))]), y, COST * np.sqrt(weight))
+        model = Model(space.table.fold(space.whiten @ w[:-1]), float(w[-1]), 1.0, 0.0)
+        value = model.words(sample.spelled)
+        score, witness = sample.most(value)
+        negative = np.union1d(negative, clean_words[np.argsort(-value[clean_words])[: NEGATIVES // 2]])
+    return _calibrate(model, sample.largest(score, model.bias), sample.label, (sample.label == 1) | aside if aside.any() else np.ones(len(aside), bool))
+
+
+class _Space:
+    """Nyström features of words: whitened kernel values at the landmarks, kept per word."""
+
+    def __init__(self, spelled: list[bytes], landmarks: list[bytes]):
+        self.spelled = spelled
+        self.table = _embed(landmarks)
+        gram = kernel(landmarks, self.table).astype(np.float64)
+        values, vectors = np.linalg.eigh((gram + gram.T) / 2)
+        good = values > 1e-4
+        self.whiten = vectors[:, good] / np.sqrt(values[good])
+        self.known: dict[bytes, np.ndarray] = {}
+
+    def features(self, words: list[bytes]) -> dict[bytes, np.ndarray]:
+        new = sorted({w for w in words if w not in self.known})
+        if new:
+            pieces, owner = _windows_of(new)
+            value = kernel(pieces, self.table)
+            most = np.zeros((len(new), value.shape[1]), value.dtype)
+            np.maximum.at(most, owner, value)
+            self.known |= zip(new, (most @ self.whiten).astype(np.float32))
+        return self.known
 
+    def words(self, words: list[bytes]) -> np.ndarray:
+        known = self.features(words)
+        return np.array([known[w] for w in words]).reshape(len(words), self.whiten.shape[1])
 
-def _documents_with(doc_words: np.ndarray, sign: np.ndarray, owner: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (substring, document) pairs; doc_words holds document x n_words + word."""
-    order = np.argsort(owner, kind="stable")
-    sign, owner = sign[order], owner[order]
-    bounds = np.searchsorted(owner, np.arange(n_words + 1))
-    doc, word = np.divmod(doc_words, n_words)
-    n = bounds[word + 1] - bounds[word]
-    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(bounds[word], n)
-    docs = int(doc.max(initial=0)) + 1
-    return np.divmod(np.unique(sign[at].astype(np.int64) * docs + np.repeat(doc, n)), docs)
-
-
-def _document_counts(doc_words: np.ndarray, sign: np.ndarray, owner: np.ndarray, n_words: int, signs: int) -> np.ndarray:
-    """Documents that have each substring, a run of documents in memory at a time."""
-    order = np.argsort(owner, kind="stable")
-    sign, owner = sign[order], owner[order]
-    total = np.zeros(signs, np.int64)
-    edges = np.searchsorted(doc_words, np.arange(0, doc_words.max(initial=0) + 1, 100 * n_words))
-    for lo, hi in zip(edges, np.append(edges[1:], len(doc_words))):
-        if lo < hi:
-            total += np.bincount(_documents_with(doc_words[lo:hi], sign, owner, n_words)[0], minlength=signs)
-    return total
 
+def _landmarks(sample: Sample, apart: np.ndarray, in_clean: np.ndarray, rng: np.random.Generator) -> list[bytes]:
+    """Windows of the words that tell the classes apart best, and of clean words drawn at random."""
+    order = np.lexsort((np.arange(len(apart)), -apart))
+    telling = order[(apart[order] > 1.0) | (np.arange(len(order)) < LANDMARKS // 8)][: LANDMARKS * 7 // 8]
+    clean = rng.permutation(np.flatnonzero(in_clean > 0))[: max(LANDMARKS // 8, len(telling) // 7)]
+    return sorted({windows(sample.spelled[w])[0] for w in [*telling, *clean]})
 
-def _significant(in_toxic, in_clean, sign, owner, signs: int, n_words: int, toxic_n: int, clean_n: int) -> np.ndarray:
-    """Substrings of two toxic documents or more that clean ones (all but) lack, at a
-    false discovery rate of 5 %: chance gives share^n of the substrings of n documents."""
-    share = toxic_n / (toxic_n + clean_n)
-    t = _document_counts(in_toxic, sign, owner, n_words, signs)
-    tried = t >= 2
-    near = tried[sign]
-    n = t + _document_counts(in_clean, sign[near], owner[near], n_words, signs)
-    apart = ((n - t) * 50 <= t) & tried
-    from_least = lambda counts, weights=None: np.bincount(counts, weights, minlength=int(n.max(initial=1)) + 1)[::-1].cumsum()[::-1]
-    taken, chance = from_least(t[apart]), from_least(n[tried], share ** n[tried])
-    good = np.flatnonzero((taken > 0) & (chance < 0.05 * taken))
-    good = good[good >= 2]
-    return np.flatnonzero(apart & (t >= good[0])) if len(good) else np.zeros(0, np.int64)
-
-
-def _sided(often: np.ndarray, in_docs: np.ndarray, toxic_n: int, clean_n: int) -> np.ndarray:
-    """Words that toxic documents have three times as often as clean ones, beyond chance (six deviations)."""
-    both = (often + in_docs) / (toxic_n + clean_n)
-    spread = np.sqrt(both * (1 - both) * (1 / toxic_n + 1 / clean_n)) + 1e-12
-    gap = often / toxic_n - in_docs / clean_n
-    return (often / toxic_n >= 3 * in_docs / clean_n) & (gap >= 6 * spread)
-
-
-def _landmarks(often, sign, owner, telling, known, most: int) -> list[bytes]:
-    """Greedy cover of words by telling substrings: each in turn has most occurrences of words
-    not yet covered; of equal ones the longest."""
-    near = telling[sign] & (often[owner] > 0)
-    found, index = np.unique(sign[near], return_inverse=True)
-    word = owner[near]
-    left = often.astype(float)
-    chosen: list[bytes] = []
-    for _ in range(min(most, len(found))):
-        gain = np.bincount(index, weights=left[word], minlength=len(found))
-        best = int(np.flatnonzero(gain == gain.max())[-1])
-        if gain[best] < 0.5:
-            break
-        left[np.unique(word[index == best])] = 0.0
-        chosen.append(_spell(int(known[found[best]])))
-    return chosen
-
-
-def _spell(sign: int) -> bytes:
-    out = []
-    while sign:
-        out.append(sign & 0x7F)
-        sign >>= 7
-    return bytes(out[::-1])
-
-
-def _insert(word: bytes, rng: np.random.Generator) -> bytes:
-    at = int(rng.integers(1, len(word)))
-    return (word[:at] + bytes([0x40 + int(rng.integers(1, 37))]) + word[at:])[:LONGEST]
-
-
-def _calibrate(model: Model, spelled, back, doc, label_of, doc_of, docs: int, only: np.ndarray | None) -> Model:
-    """Logistic curve over the documents' largest word scores (Newton, lightly regularised);
-    over some only, at the sample's own rate of toxic ones."""
-    pieces = [(i, p) for i, w in enumerate(spelled) for p in windows(w)]
-    score = np.full(len(spelled), -np.inf)
-    np.maximum.at(score, [i for i, _ in pieces], model.words([p for _, p in pieces]))
-    x = np.full(docs, model.bias)
-    np.maximum.at(x, doc, score[back])
-    y = np.zeros(docs)
-    y[doc_of] = label_of
+
+def _best_of(sample: Sample, pairs: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Of each document, its sentence (among the pairs) that scores highest."""
+    doc, sentence = sample.doc[pairs], sample.sentence[pairs]
+    order = np.lexsort((sentence, -score[sentence], doc))
+    first = np.unique(doc[order], return_index=True)[1]
+    return sentence[order[first]]
+
+
+def _bend(word: bytes, rng: np.random.Generator) -> bytes:
+    """The word with a letter or digit inserted."""
+    at = int(rng.integers(0, len(word) + 1))
+    return word[:at] + bytes([0x40 + int(rng.integers(1, 37))]) + word[at:]
+
+
+def _calibrate(model: Model, x: np.ndarray, label: np.ndarray, use: np.ndarray) -> Model:
+    """Logistic curve over the documents' largest sentence scores (Newton, lightly
+    regularised), both classes weighing alike; moved where more than ``REJECTED`` of the
+    clean ones would be taken for toxic."""
+    x, y = x[use], label[use].astype(float)
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
-    weight = weight if only is None else only.astype(float)
     a = np.array([1.0, 0.0])
     design = np.stack([x, np.ones_like(x)], axis=1)
-    for _ in range(50):
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(design @ a, -30, 30)))
         gradient = design.T @ (weight * (p - y)) + 0.01 * a
         hessian = (design * (weight * p * (1 - p))[:, None]).T @ design + 0.01 * np.eye(2)
@@ -552,7 +516,10 @@ def _calibrate(model: Model, spelled, back, doc, label_of, doc_of, docs: int, on
         a = a - np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
-    return Model(model.table, model.bias, float(a[0]), float(a[1]))
+    slope, offset = float(a[0]), float(a[1])
+    if slope > 0 and (y == 0).any():
+        offset = min(offset, -slope * (float(np.quantile(x[y == 0], 1 - REJECTED, method="lower")) + 1e-6))
+    return Model(model.table, model.bias, slope, offset)
 
 
 # ---- Spark ----------------------------------------------------------------
@@ -562,19 +529,35 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def training_sentences(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, clean_docs: int = CLEAN_DOCS) -> list[tuple[int, int, str]]:
-    """(document, label, sentence) of a bounded sample of rows that are not held out."""
+def training_documents(
+    docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, clean_docs: int = CLEAN_DOCS, train_bytes: int = TRAIN_BYTES
+) -> list[tuple[int, int, str]]:
+    """(document, label, text) of a bounded sample of rows that are not held out.
+
+    Sizes are ranked first; only the texts within the bound leave the executors.
+    """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     pick = lambda label, most: known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     chosen = F.broadcast(pick(1, toxic_docs).unionByName(pick(0, clean_docs)))  # at most toxic_docs + clean_docs rows
-    texts = docs.select("doc_id", "text").join(chosen, "doc_id").where("text IS NOT NULL")
-    # Of a longer document, the sentences that come first by hash.
-    sentences = F.filter(F.split("text", r"[.!?\n]+\s*"), lambda s: F.length(s) > 2)
-    hashed = F.sort_array(F.transform(sentences, lambda s: F.struct(F.xxhash64(s).alias("h"), s.alias("s"))))
-    rows = texts.select("doc_id", "toxic", F.explode(F.slice(hashed, 1, SENTENCES)).alias("s")).select("doc_id", "toxic", "s.s")
-    table = rows.toArrow()
-    return sorted(zip(table["doc_id"].to_pylist(), table["toxic"].to_pylist(), table["s"].to_pylist()))
+    near = docs.select("doc_id", "text").where("text IS NOT NULL").join(chosen, "doc_id")
+    sizes = near.groupBy("doc_id", "toxic").agg(F.max(F.octet_length("text")).alias("n")).collect()  # a number a document
+    limits = []
+    for label in (0, 1):
+        room, own = train_bytes, sorted((_order(r["doc_id"]), r["doc_id"], r["n"]) for r in sizes if r["toxic"] == label)
+        fit = []
+        for _, doc_id, n in own:
+            if n <= room:
+                fit.append((doc_id, label))
+                room -= n
+        limits += fit or [(d, label) for _, d in sorted((n, d) for _, d, n in own)[:1]]
+    taken = F.broadcast(docs.sparkSession.createDataFrame(limits, "doc_id long, toxic int"))
+    table = docs.select("doc_id", "text").where("text IS NOT NULL").join(taken, "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text")).toArrow()
+    return sorted(zip(table["doc_id"].to_pylist(), table["toxic"].to_pylist(), table["text"].to_pylist()))
+
+
+def _order(doc_id: int) -> int:
+    return int(mix64(np.array([doc_id], np.int64).view(np.uint64))[0])
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -588,8 +571,7 @@ def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _scored(docs: DataFrame, labels: DataFrame, columns: list[str]) -> DataFrame:
-    sentences = training_sentences(docs, labels)
-    model = train(sentences)
+    model = train(training_documents(docs, labels))
     if model is None:
         return docs.select(*columns, F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # one table of 64^3 numbers
