@@ -8,6 +8,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -26,9 +27,11 @@ PIECE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder shared by driver and executors; a temporary one only where none is set."""
+    """The folder of ``spark.checkpoint.dir``; in local mode alone a temporary one where unset."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="edgeloom-")
         spark.sparkContext.setCheckpointDir(configured)
     return configured.rstrip("/")
@@ -69,22 +72,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
-_BASE = np.uint64(0x5851F42D4C957F2D)
-_BASE_INV = np.uint64(pow(0x5851F42D4C957F2D, -1, 1 << 64))
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power_table(kind: str, base: np.uint64, n: int) -> np.ndarray:
-    table = _powers.get(kind)
-    if table is None or len(table) < n:
-        size = max(n, PIECE_BYTES + 1)
-        table = np.full(size, base, dtype=np.uint64)
-        table[0] = 1
-        table = np.multiply.accumulate(table)
-        if size <= 8 * PIECE_BYTES:
-            _powers[kind] = table
-    return table
+#: Seeds of the independent hashes of a word (lane 0, 1, ...): odd 64-bit constants.
+_LANES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Words of at most this many bytes are hashed eight bytes at a time for all words at once.
+_SHORT = 64
+_LOW_BYTES = np.array([0] + [(1 << 8 * k) - 1 for k in range(1, 9)], dtype=np.uint64)
 
 
 class Words:
@@ -119,15 +111,30 @@ class Words:
     def doc_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.bounds) - 1), self.counts)
 
-    def hashes(self) -> np.ndarray:
-        """64-bit polynomial hash of each word's bytes, finalised."""
+    def hashes(self, lane: int = 0) -> np.ndarray:
+        """64-bit hash of each word's bytes; lanes are independent of each other.
+
+        Short words are chained through a bijective mixer, eight bytes a step, from a
+        start that depends on lane and length; longer words go through BLAKE2b.
+        """
         if not len(self):
             return np.zeros(0, dtype=np.uint64)
-        n = len(self.data)
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[self.data] * _power_table("up", _BASE, n)[:n], out=sums[1:])
-        raw = (sums[self.ends] - sums[self.starts]) * _power_table("down", _BASE_INV, n)[self.starts]
-        return mix64(raw ^ (self.ends - self.starts).astype(np.uint64))
+        size = self.ends - self.starts
+        seed = np.uint64(_LANES[lane])
+        out = mix64(size.astype(np.uint64) * seed + seed)
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        eight = np.ndarray((len(padded) - 7,), dtype="<u8", buffer=padded, strides=(1,))
+        at, todo = 0, np.flatnonzero(size <= _SHORT)
+        while len(todo):
+            left = np.minimum(size[todo] - at, 8)
+            chunk = eight[self.starts[todo] + at] & _LOW_BYTES[left]
+            out[todo] = mix64((out[todo] ^ chunk) * seed)
+            at += 8
+            todo = todo[size[todo] > at]
+        for i in np.flatnonzero(size > _SHORT):
+            raw = self.data[self.starts[i] : self.ends[i]].tobytes()
+            out[i] = int.from_bytes(hashlib.blake2b(raw, digest_size=8, key=b"lane%d" % lane).digest(), "little")
+        return out
 
     def text(self, first: int, last: int) -> bytes:
         """Bytes from word ``first`` through word ``last`` inclusive, blanks as they stand."""
@@ -158,7 +165,12 @@ def word_pieces(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[in
         lo = hi
 
 
-_GRAM = np.uint64(0xD6E8FEB86659FD93)
+_JOIN = np.uint64(0xD6E8FEB86659FD93)
+
+
+def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hash of two runs from theirs; mixed at each step, so that no pattern of repeats cancels."""
+    return mix64(left * _JOIN + right)
 
 
 def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -166,11 +178,15 @@ def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     if len(hashes) < n:
         return np.zeros(0, dtype=np.uint64)
     m = len(hashes) - n + 1
-    out = hashes[:m].copy()
-    for i in range(1, n):
-        out *= _GRAM
-        out += hashes[i : i + m]
-    return mix64(out + np.uint64(n))
+    doubled, size, out, done = mix64(hashes + np.uint64(n)), 1, None, 0
+    while True:
+        if n & size:
+            out = doubled[:m] if out is None else _joined(out, doubled[done : done + m])
+            done += size
+        if size * 2 > n:
+            return out
+        doubled = _joined(doubled[:-size], doubled[size:])
+        size *= 2
 
 
 def inside_docs(bounds: np.ndarray, n: int) -> np.ndarray:
@@ -193,11 +209,11 @@ def shingles(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     for short in range(1, n):
         rows = np.flatnonzero(counts == short)
         if len(rows):
-            value = np.zeros(len(rows), dtype=np.uint64)
+            value = np.full(len(rows), 1000 + short, dtype=np.uint64)
             for i in range(short):
-                value = value * _GRAM + hashes[words.bounds[rows] + i]
+                value = _joined(value, hashes[words.bounds[rows] + i])
             docs.append(rows)
-            values.append(mix64(value + np.uint64(1000 + short)))
+            values.append(value)
     return np.concatenate(docs), np.concatenate(values)
 
 

@@ -9,16 +9,19 @@ bucket, where sorting finds for every window the smallest doc_id it starts in.
 How it scales: a first pass emits one slim row per super-k-mer, without text;
 minimisers seen in one document only drop out, so only text that can repeat
 travels. Buckets are sized by windows. A minimiser with more than ``hot``
-super-k-mers never becomes one task: its windows go, one row each, through a
-partial aggregation by fingerprint and a join that Spark may split.
+windows never becomes one task: its windows go, one row each, through a
+partial aggregation by digest and a join that Spark may split.
 
-Windows are matched by 128-bit fingerprints; inside buckets each match is
-checked against the bytes of the words.
+Identity of windows: inside buckets two independent 64-bit hashes sort them and
+each match is checked against the bytes of the words (should two different
+windows hash alike, that group is compared word by word); windows of hot
+minimisers are matched by the 128-bit BLAKE2b digest of their words.
 
 Defined cases: null text has no words; a document shorter than the window keeps
-all; rows that share a doc_id never remove each other's words; rows with a
-null doc_id neither remove nor lose words; an empty table gives an empty
-result; other columns are left alone.
+all; texts of any length are handled whole; rows that share a doc_id never
+remove each other's words; rows with a null doc_id neither remove nor lose
+words; an empty table gives an empty result; other columns, whatever their
+names, are left alone.
 """
 
 from __future__ import annotations
@@ -37,11 +40,10 @@ WINDOW = 50
 GRAM = 12
 #: Longest run of windows in one packed string.
 RUN = 256
-#: Super-k-mers of one minimiser above which its windows are counted one by one.
-HOT = 20_000
-WINDOWS_PER_BUCKET = 400_000
-
-_SIGN = np.uint64(1 << 63)
+#: Windows of one minimiser above which they are counted one by one; a bucket in
+#: one task holds about as many, more by at most one minimiser's.
+HOT = 150_000
+WINDOWS_PER_BUCKET = 150_000
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -120,7 +122,7 @@ def find_repeats(docs: DataFrame, kmers: DataFrame, window: int, hot: int, per_b
     """(texts, spans): the documents that share a minimiser with another, and the
     word spans (doc_id, th, first, last + 1) that repeat a smaller doc_id's."""
     kmers = kmers.where("key IS NOT NULL")
-    shared = kmers.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("c"))
+    shared = kmers.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.sum("n").alias("c"))
     shared = shared.where("lo < hi").select("key", (F.col("c") > hot).alias("hot"))
     wanted = kmers.select("key", "doc_id", "th", "start", "n").join(shared, "key")
     wanted = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "n", "key", "hot")).alias("parts"))
@@ -182,7 +184,7 @@ def _windows(column: pa.Array, window: int):
         hashes = words.hashes()
         keep = inside_docs(words.bounds, window)
         one = gram_hashes(hashes, window)[keep]
-        two = gram_hashes(mix64(hashes ^ np.uint64(0xA5A5A5A55A5A5A5A)), window)[keep]
+        two = gram_hashes(words.hashes(1), window)[keep]
         at = np.flatnonzero(keep)
         doc = words.doc_of()[at]
         out.append((doc + lo, at - words.bounds[doc], one, two))
@@ -207,6 +209,7 @@ def _sort_bucket(window: int):
         one, two = one[order], two[order]
         new = np.ones(len(order), dtype=bool)
         new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+        new_group = new
         lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
         later = ids[row[order]] > ids[row[lead]]
         mine, lead = order[later], lead[later]
@@ -220,17 +223,23 @@ def _sort_bucket(window: int):
         heads = np.flatnonzero(new)
         tails = np.append(heads[1:], len(mine)) - 1
         text = _Slices(pieces)
-        for h, t in zip(heads, tails):
-            a = text.words(row[mine[h]], at[mine[h]], at[mine[t]] + window)
-            if a != text.words(row[lead[h]], at[lead[h]], at[lead[t]] + window):
-                raise ValueError("two windows share a 128-bit fingerprint")
-        first = starts[row[mine[heads]]] + at[mine[heads]]
+        same = lambda h, t: text.words(row[mine[h]], at[mine[h]], at[mine[t]] + window) == text.words(row[lead[h]], at[lead[h]], at[lead[t]] + window)
+        true = np.array([same(h, t) for h, t in zip(heads, tails)])
+        if not true.all():
+            heads, tails = heads[true], tails[true]
+            extra = _by_words(order, new_group, ids, row, at, text, window, mine, true, new)
+        else:
+            extra = np.zeros(0, np.int64)
+        # Spans as (string, first word in it, windows): runs, then single windows found by their words.
+        string = np.concatenate([row[mine[heads]], row[extra]])
+        first = starts[string] + np.concatenate([at[mine[heads]], at[extra]])
+        n = np.concatenate([tails - heads, np.zeros(len(extra), np.int64)])
         return pa.table(
             [
-                pa.array(ids[row[mine[heads]]]),
-                pa.array(table.column("th").to_numpy()[row[mine[heads]]]),
+                pa.array(ids[string]),
+                pa.array(table.column("th").to_numpy()[string]),
                 pa.array(first.astype(np.int32)),
-                pa.array((first + (tails - heads) + window).astype(np.int32)),
+                pa.array((first + n + window).astype(np.int32)),
             ],
             schema=schema,
         )
@@ -238,6 +247,25 @@ def _sort_bucket(window: int):
     return run
 
 
+def _by_words(order, new_group, ids, row, at, text: _Slices, window: int, mine, true, new_run) -> np.ndarray:
+    """Windows of the runs whose bytes differ from their group's first window, where a
+    smaller doc_id of the group has the same words after all."""
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(new_group) - 1
+    bounds = np.append(np.flatnonzero(new_group), len(order))
+    doubtful = mine[~true[np.cumsum(new_run) - 1]]
+    found = []
+    for g in np.unique(group[doubtful]):
+        least: dict[tuple[bytes, ...], int] = {}
+        members = order[bounds[g] : bounds[g + 1]]
+        words = [tuple(text.words(row[m], at[m], at[m] + window)) for m in members]
+        for m, w in zip(members, words):
+            least[w] = min(least.get(w, ids[row[m]]), ids[row[m]])
+        wanted = set(doubtful.tolist())
+        found += [m for m, w in zip(members.tolist(), words) if m in wanted and least[w] < ids[row[m]]]
+    return np.array(found, np.int64)
+
+
 class _Slices:
     """Words of packed strings, whatever blanks stand between them."""
 
@@ -252,21 +280,31 @@ class _Slices:
 
 
 def _count_hot(packed: DataFrame, window: int) -> DataFrame:
-    """Windows of hot minimisers, one row each, matched by fingerprint."""
+    """Windows of hot minimisers, one row each, matched by a digest of their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, ths, starts = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
-            for lo in range(0, batch.num_rows, 2000):
-                (row, at, one, two), _ = _windows(batch.column(3).slice(lo, 2000), window)
-                row = row + lo
+            for lo, hi, words in word_pieces(batch.column(3)):
+                row, at, digest = [], [], []
+                for i in range(lo, hi):
+                    base, end = int(words.bounds[i - lo]), int(words.bounds[i - lo + 1])
+                    own = words.data[words.offsets[i - lo] : words.offsets[i - lo + 1]].tobytes().split()
+                    joined = b" ".join(own)
+                    edge = np.cumsum([0] + [len(w) + 1 for w in own]).tolist()
+                    count = end - base - window + 1
+                    digest += [hashlib.blake2b(joined[edge[k] : edge[k + window] - 1], digest_size=16).digest() for k in range(count)]
+                    row += [i] * count
+                    at += range(count)
+                both = np.frombuffer(b"".join(digest), "<i8").reshape(-1, 2)
+                row = np.array(row, np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(one.view(np.int64)),
-                        pa.array(two.view(np.int64)),
+                        pa.array(np.ascontiguousarray(both[:, 0])),
+                        pa.array(np.ascontiguousarray(both[:, 1])),
                         pa.array(ids[row], pa.int64()),
                         pa.array(ths[row], pa.int64()),
-                        pa.array((starts[row] + at).astype(np.int32)),
+                        pa.array((starts[row] + np.array(at, np.int64)).astype(np.int32)),
                     ],
                     names=["one", "two", "doc_id", "th", "first"],
                 )
@@ -337,15 +375,17 @@ def dedup_report(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: i
 def dedup_texts(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, per_bucket: int = WINDOWS_PER_BUCKET) -> DataFrame:
     """docs with repeated words cut from ``text`` (and n_chars, where present, set anew)."""
     kmers = save(scan(docs, window, gram), "sub-kmers")
-    lost = _removed(docs, kmers, window, hot, per_bucket).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("kept").cast("string").alias("_kept"))
-    joined = docs.join(lost, (docs["doc_id"] == F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_th")), "left")
-    text = F.coalesce("_kept", docs["text"])
+    lost = _removed(docs, kmers, window, hot, per_bucket).select("doc_id", "th", F.col("kept").cast("string").alias("kept"))
+    # The input's columns stay in one struct, so none of their names can clash.
+    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("doc_id"), F.xxhash64(docs["text"]).alias("th"))
+    joined = own.join(lost, ["doc_id", "th"], "left")
+    text = F.coalesce("kept", "row.text")
     columns = []
     for c in docs.columns:
+        value = F.col("row").getField(c)
         if c == "text":
-            columns.append(text.alias(c))
+            value = text
         elif c == "n_chars":
-            columns.append(F.when(F.col("_id").isNull(), docs[c]).otherwise(F.length(text).cast(docs.schema[c].dataType)).alias(c))
-        else:
-            columns.append(docs[c])
+            value = F.when(F.col("kept").isNull(), value).otherwise(F.length(text).cast(docs.schema[c].dataType))
+        columns.append(value.alias(c))
     return joined.select(*columns)
