@@ -13,13 +13,16 @@ smallest page id is the response, the others are revisits that refer to it.
 
 How it scales: digests and the smallest page id per digest are one partial
 aggregation over (digest, page id); only digests that occur twice are joined
-back. Files hold at most ``records_per_file`` records. A lost executor's files
-are rewritten by Spark's commit protocol.
+back. Files hold at most ``records_per_file`` records and are read as streams, so
+neither a file's nor a task's size matters, only a record's. A lost executor's
+files are rewritten by Spark's commit protocol.
 
 Defined cases: a null html is an empty payload, a null url an empty target; a
 null page id never counts as the smallest while another exists and is read back
 as null; rows that repeat a page id with the same payload are all responses or
-all revisits; an empty table gives an empty result; other columns are ignored.
+all revisits; rows that repeat page id and url are one capture and share their
+identifier; payloads of any length are kept whole; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +31,6 @@ import hashlib
 import io
 import re
 import uuid
-import zlib
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
@@ -143,8 +145,10 @@ def page_of(identifier: str) -> int | None:
     return number - (1 << 64) if number >> 63 else number
 
 
-def arc_to_warc(record: dict, page_id: int | None, refers_to: int | None, is_revisit: bool) -> bytes:
-    """The WARC record equal to a parsed ARC record, without the blank lines that end it."""
+def arc_to_warc(record: dict, page_id: int | None, refers_to: str | None = None) -> bytes:
+    """The WARC record equal to a parsed ARC record, without the blank lines that end it;
+    a revisit where ``refers_to`` is given, the identifier of the response it repeats."""
+    is_revisit = refers_to is not None
     head, _, payload = record["block"].partition(CRLF + CRLF)
     when = datetime.strptime(record["date"], "%Y%m%d%H%M%S").replace(tzinfo=timezone.utc)
     http = head + CRLF + CRLF
@@ -160,7 +164,7 @@ def arc_to_warc(record: dict, page_id: int | None, refers_to: int | None, is_rev
         ("WARC-Block-Digest", "sha256:" + hashlib.sha256(body).hexdigest()),
     ]
     if is_revisit:
-        fields += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", record_id(refers_to, ""))]
+        fields += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", refers_to)]
     fields.append(("Content-Length", str(len(body))))
     lines = CRLF.join(f"{k}: {v}".encode("utf-8", "surrogateescape") for k, v in fields)
     return b"WARC/1.1" + CRLF + lines + CRLF + CRLF + body
@@ -194,26 +198,30 @@ def pages_to_records(pages: DataFrame, min_revisit: int = 100) -> DataFrame:
     """(record): one WARC record per page, by way of an ARC record of version 1 or 2."""
     slim = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html"))
     digest = F.when(F.octet_length("html") >= min_revisit, F.sha2(F.col("html").cast("binary"), 256))
+    response = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", F.coalesce("url", F.lit("")).alias("url")))).alias("response")
     twice = (
-        slim.select("page_id", digest.alias("digest"))
+        slim.select("page_id", "url", digest.alias("digest"))
         .where("digest IS NOT NULL")
         .groupBy("digest")
-        .agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
-        .where("n > 1 AND first_id IS NOT NULL")
-        .select("digest", "first_id")
+        .agg(response, F.count("*").alias("n"))
+        .where("n > 1 AND response IS NOT NULL")
+        .select("digest", "response")
     )
-    joined = slim.withColumn("digest", digest).join(twice, "digest", "left").select("page_id", "url", "html", "first_id")
+    # Small payloads get a key each, which no digest equals: a null key would be one hot task.
+    alone = F.concat_ws("-", F.lit("page"), F.col("page_id").cast("string"), F.xxhash64("url").cast("string"))
+    joined = slim.withColumn("digest", F.coalesce(digest, alone)).join(twice, "digest", "left")
+    joined = joined.select("page_id", "url", "html", F.col("response.page_id").alias("first_id"), F.col("response.url").alias("first_url"))
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 rows, out = batch.slice(lo, 256).to_pydict(), []
-                for page_id, url, html, first in zip(*(rows[c] for c in ("page_id", "url", "html", "first_id"))):
+                for page_id, url, html, first, first_url in zip(*(rows[c] for c in ("page_id", "url", "html", "first_id", "first_url"))):
                     version = 1 + (page_id or 0) % 2
                     arc = arc_version_block(version) + arc_record(version, url or "", html.encode())
                     *_, record = parse_arc(arc)
                     revisit = first is not None and first != page_id
-                    out.append(arc_to_warc(record, page_id, first if revisit else None, revisit))
+                    out.append(arc_to_warc(record, page_id, record_id(first, _arc_url(first_url)) if revisit else None))
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     return joined.mapInArrow(convert, "record binary")
@@ -231,53 +239,50 @@ def write_archives(records: DataFrame, path: str, records_per_file: int = 4000)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row per WARC record: page_id, payload_bytes, payload_digest, record_type, refers_to, url, warc_date.
+    """One row per WARC record: page_id, payload_bytes, payload_digest, record_type, refers_to,
+    url, warc_date, record_id, refers_to_id.
 
-    The payload digest of a response is checked against its bytes.
+    Spark inflates the files and cuts them at blank lines; the pieces are put together again
+    as a stream, in which declared lengths alone end a record, one record in memory at a
+    time. The payload digest of a response is checked against its bytes.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, warc_date string"
+    pieces = spark.read.option("lineSep", "\r\n\r\n").option("pathGlobFilter", "*.gz").text(path).select(F.col("value").cast("binary").alias("piece"))
+    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, warc_date string, record_id string, refers_to_id string"
     names = [c.split()[0] for c in schema.split(", ")]
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column(0):
-                stream = io.BufferedReader(_Inflated(content.as_buffer()))
+        rows = []
+        for fields, block in parse_warc(io.BufferedReader(_Pieces(batches), 1 << 16)):
+            rows.append(_summary(fields, block))
+            if len(rows) == 2000:
+                yield _rows(rows, names)
                 rows = []
-                for fields, block in parse_warc(stream):
-                    rows.append(_summary(fields, block))
-                    if len(rows) == 2000:
-                        yield _rows(rows, names)
-                        rows = []
-                if rows:
-                    yield _rows(rows, names)
+        if rows:
+            yield _rows(rows, names)
 
-    return files.mapInArrow(parse, schema)
+    return pieces.mapInArrow(parse, schema)
 
 
-class _Inflated(io.RawIOBase):
-    """Gzip bytes read as a stream, so that one record is in memory at a time."""
+class _Pieces(io.RawIOBase):
+    """Pieces of files, each followed by the blank lines it was cut at, read as a stream."""
 
-    def __init__(self, data: pa.Buffer):
-        self.data, self.at, self.rest = memoryview(data), 0, b""
-        self.engine = zlib.decompressobj(31)
+    def __init__(self, batches: Iterator[pa.RecordBatch]):
+        self.pieces = (v.as_buffer() for batch in batches for v in batch.column(0))
+        self.rest: memoryview | bytes = b""
+        self.ended = True
 
     def readable(self) -> bool:
         return True
 
     def readinto(self, into) -> int:
-        while not self.rest:
-            if self.engine.eof:
-                unused = self.engine.unused_data
-                self.at -= len(unused)
-                if self.at >= len(self.data):
-                    return 0
-                self.engine = zlib.decompressobj(31)
-            chunk = self.data[self.at : self.at + 65_536]
-            if not len(chunk):
+        while not len(self.rest):
+            if not self.ended:
+                self.rest, self.ended = CRLF + CRLF, True
+                continue
+            piece = next(self.pieces, None)
+            if piece is None:
                 return 0
-            self.at += len(chunk)
-            self.rest = self.engine.decompress(chunk)
+            self.rest, self.ended = memoryview(piece).cast("B"), False
         n = min(len(into), len(self.rest))
         into[:n], self.rest = self.rest[:n], self.rest[n:]
         return n
@@ -294,11 +299,11 @@ def _summary(fields: dict[str, str], block: bytes) -> tuple:
         size, refers = len(payload), None
         if hashlib.sha256(payload).hexdigest() != digest:
             raise ValueError(f"payload digest of {fields['warc-record-id']} does not match")
-    return page_of(fields["warc-record-id"]), size, digest, kind, refers, fields["warc-target-uri"], fields["warc-date"]
+    return page_of(fields["warc-record-id"]), size, digest, kind, refers, fields["warc-target-uri"], fields["warc-date"], fields["warc-record-id"], fields.get("warc-refers-to")
 
 
 def _rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), *[pa.string()] * 4]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
 
