@@ -14,7 +14,7 @@ distinct source and passes through streaming windows.
 
 Defined cases: a null or blank text has size 0 and is never taken; a null
 source is a source of its own, ranked last; repeated rows are queued one by
-one, in the order (key, doc_id, size, row); an empty table gives an empty
+one, in the order (key, doc_id, size); texts of any length count whole; an empty table gives an empty
 result; other columns of the input pass through untouched in ``mix_documents``
 and are ignored by ``mixing_plan``.
 """
@@ -161,14 +161,16 @@ def _cut(queued: DataFrame, max_epochs: int, bins: int) -> DataFrame:
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: each row of docs as often as the mix takes it.
 
-    Rows that repeat a doc_id with the same source and size are each taken as
-    often as the first of them in the queue.
+    Rows alike in doc_id, source and size (a row that repeats, as a rule) are taken as
+    often as the plan takes them together: the first by text as often as the first of
+    them in the queue, and so on.
     """
-    plan = mixing_plan(docs, **options).where("epochs > 0").groupBy("doc_id", "source", "size").agg(F.max("epochs").alias("m_epochs"))
-    plan = plan.select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size"), "m_epochs")
-    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), word_count(docs["text"]).alias("d_size"))
-    taken = own.join(
-        plan,
-        F.col("row.doc_id").eqNullSafe(F.col("m_id")) & F.col("row.source").eqNullSafe(F.col("m_source")) & (F.col("d_size") == F.col("m_size")),
-    )
-    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("m_epochs")))).select("row.*")
+    alike = [F.coalesce("doc_id", F.lit(0)).alias("k_id"), F.col("doc_id").isNull().alias("k_no_id"), F.coalesce("source", F.lit("")).alias("k_source"), F.col("source").isNull().alias("k_no_source")]
+    keys = ["k_id", "k_no_id", "k_source", "k_no_source", "k_size"]
+    plan = mixing_plan(docs, **options).where("epochs > 0").select(*alike, F.col("size").alias("k_size"), "epochs")
+    plan = plan.groupBy(*keys).agg(F.sort_array(F.collect_list("epochs"), asc=False).alias("often"))
+    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *alike, word_count(docs["text"]).alias("k_size"))
+    joined = own.join(plan, keys)
+    turn = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("row.text")))
+    taken = joined.withColumn("turn", turn).where(F.col("turn") <= F.size("often")).withColumn("times", F.element_at("often", F.col("turn")))
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
