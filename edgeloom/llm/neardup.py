@@ -25,8 +25,8 @@ pairs. As every candidate pair across classes is looked at, one pass is whole.
 
 Defined cases: documents without words, and rows with a null doc_id, are kept,
 each a class of its own; a document of fewer than n words is one shingle; rows
-that share a doc_id count as one document and share their class; an empty table
-gives an empty result; other columns are left alone.
+that share a doc_id count as one document and share their class, whatever their
+texts; texts of any length are taken whole; an empty table gives an empty result; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -46,9 +46,7 @@ THRESHOLD = 0.8
 BANDS = 16
 ROWS = 4  # positions a band; 16 bits each, so a band's key is one long
 POSITIONS = BANDS * ROWS
-#: Positions that must agree before a pair is verified: 3.8 deviations below
-#: what a pair at the threshold shows on average.
-AGREE = int(np.ceil(POSITIONS * (THRESHOLD - 3.8 * np.sqrt(THRESHOLD * (1 - THRESHOLD) / POSITIONS))))
+BLOCK_SIGNATURES = 4096  # members of a bucket compared with as many others at a time
 BLOCK = 512
 ROWS_PER_GROUP = 4000  # signatures handled by one call
 BAGS_PER_GROUP = 500
@@ -57,6 +55,12 @@ _ROUND = np.uint64(0xBF58476D1CE4E5B9)
 _LONG = (1 << 64) - 1
 
 
+def least_agreement(threshold: float) -> int:
+    """Positions that must agree before a pair is verified: 3.8 deviations below what a
+    pair at the threshold shows on average."""
+    return max(1, int(np.ceil(POSITIONS * threshold - 3.8 * np.sqrt(POSITIONS * threshold * (1 - threshold)))))
+
+
 def counted(doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text index, shingle, weight), sorted by text and shingle."""
     order = np.lexsort((value, doc))
@@ -123,7 +127,7 @@ def signatures(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
                 doc, value = shingles(words, n)
                 keys = band_keys(bag_minhash(*counted(doc, value), hi - lo))
                 rows = np.flatnonzero(words.counts > 0)
-                digests = [hashlib.md5(b" ".join(words.data[words.offsets[i] : words.offsets[i + 1]].tobytes().split())).digest() for i in rows]
+                digests = [_digest(words, i) for i in rows]
                 keys = keys[rows]
                 sig = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(rows)), pa.array(digests, pa.binary()), sig], names=["doc_id", "digest", "sig"])
@@ -131,8 +135,13 @@ def signatures(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, "doc_id long, digest binary, sig array<long>")
 
 
+def _digest(words, i: int) -> bytes:
+    """MD5 of text i's words joined by a space."""
+    return hashlib.md5(b" ".join(words.data[words.offsets[i] : words.offsets[i + 1]].tobytes().split())).digest()
+
+
 def bags(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
-    """(doc_id, bag): sorted 64-bit units, one per shingle and occurrence."""
+    """(doc_id, digest, bag): sorted 64-bit units, one per shingle and occurrence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,9 +156,10 @@ def bags(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
                 value = value[order]
                 ends = np.searchsorted(doc, np.arange(hi - lo + 1))
                 out = [value[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(out, pa.binary())], names=["doc_id", "bag"])
+                digests = pa.array([_digest(words, i) for i in range(hi - lo)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), digests, pa.array(out, pa.binary())], names=["doc_id", "digest", "bag"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, bag binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, digest binary, bag binary")
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> float:
@@ -195,14 +205,14 @@ def _agreements(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return joined.select("rep", "leader", "x", "y").mapInArrow(run, "rep long, leader long, agree int")
 
 
-def _in_blocks(members: DataFrame, column: str, per_group: int) -> DataFrame:
+def _in_blocks(members: DataFrame, column: str, per_group: int, block: int) -> DataFrame:
     """members (band, bkey, rep, label, column) dealt to pairs of blocks of their bucket:
     x holds members outside the bucket's largest class, y all; ``g`` names a task-sized
     group of block pairs."""
     bucket = ["band", "bkey"]
     sizes = members.groupBy(*bucket, "label").agg(F.count("*").alias("n"))
     whole = sizes.groupBy(*bucket).agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("main"))
-    whole = whole.select(*bucket, F.col("main.label").alias("main"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    whole = whole.select(*bucket, F.col("main.label").alias("main"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     groups = int(members.count() // per_group) + 1
     placed = members.join(whole, bucket).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks")).cast("int"))
     each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -227,11 +237,19 @@ def _block_pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield x, rows[~few[rows]]
 
 
-def _likely(table: pa.Table) -> pa.Table:
+def _likely(least: int):
     """(band, bkey, rep) of members with a likely partner in another class of the bucket.
 
     A pair that shares several bands is looked at in the first.
     """
+
+    def run(table: pa.Table) -> pa.Table:
+        return _likely_of(table, least)
+
+    return run
+
+
+def _likely_of(table: pa.Table, least: int) -> pa.Table:
     table = table.combine_chunks()
     rep, label, band = (table.column(c).to_numpy() for c in ("rep", "label", "band"))
     bkey = table.column("bkey").to_numpy()
@@ -244,7 +262,7 @@ def _likely(table: pa.Table) -> pa.Table:
             agree = np.zeros((len(part), len(y)), dtype=np.int16)
             for p in range(values.shape[1]):
                 agree += values[part, p, None] == values[None, y, p]
-            likely = (agree >= AGREE) & (label[part, None] != label[None, y])
+            likely = (agree >= least) & (label[part, None] != label[None, y])
             i, j = np.nonzero(likely)
             first = int(band[part[0]])
             late = (keys[part[i], :first] == keys[y[j], :first]).any(axis=1)
@@ -293,10 +311,12 @@ def classes_of(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD)
     ids = shared.select(F.col("rep").alias("doc_id")).distinct()
     # The exact join comes after the bags, or the optimizer would move it before the sieve.
     sieved = bags(sieve(docs.select("doc_id", "text"), ids, "doc_id"), n)
-    units = save(sieved.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "near-bags")
+    # One bag per representative text; rows that share a doc_id may represent several.
+    texts = ids.join(reps.select(F.col("rep").alias("doc_id"), "digest"), "doc_id")
+    units = save(sieved.join(texts, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"]).drop("digest"), "near-bags")
 
     led = shared.select("rep", F.explode(F.array("l1", "l2")).alias("leader")).where("rep <> leader").distinct()
-    scored = _agreements(led, reps).where(F.col("agree") >= AGREE)
+    scored = _agreements(led, reps).where(F.col("agree") >= least_agreement(threshold))
     best = scored.groupBy("rep").agg(F.min(F.struct((-F.col("agree")).alias("n"), "leader")).alias("m"))
     pairs = best.select(F.least("rep", "m.leader").alias("a"), F.greatest("rep", "m.leader").alias("b")).distinct()
     edges = save(_verify(pairs, units, threshold), "near-edges")
@@ -308,10 +328,10 @@ def classes_of(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD)
     several = labelled.groupBy("band", "bkey").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band", "bkey")
     members = labelled.join(several, ["band", "bkey"])
     signed_members = save(members.join(reps.select("rep", "sig"), "rep"), "near-open")
-    likely = _in_blocks(signed_members, "sig", ROWS_PER_GROUP).groupBy("g").applyInArrow(_likely, "band int, bkey long, rep long").distinct()
+    likely = _in_blocks(signed_members, "sig", ROWS_PER_GROUP, BLOCK_SIGNATURES).groupBy("g").applyInArrow(_likely(least_agreement(threshold)), "band int, bkey long, rep long").distinct()
     bagged = members.join(likely, ["band", "bkey", "rep"]).join(units.withColumnRenamed("doc_id", "rep"), "rep")
     bagged = save(bagged.select("band", "bkey", "rep", "label", "bag"), "near-likely")
-    fresh = save(_in_blocks(bagged, "bag", BAGS_PER_GROUP).groupBy("g").applyInArrow(_linked(threshold), "a long, b long"), "near-edges")
+    fresh = save(_in_blocks(bagged, "bag", BAGS_PER_GROUP, BLOCK).groupBy("g").applyInArrow(_linked(threshold), "a long, b long"), "near-edges")
     edges = edges.unionByName(fresh)
 
     # Documents by way of their text's representative; texts that share a doc_id are one document.
