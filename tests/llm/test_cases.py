@@ -5,10 +5,11 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from edgeloom.llm import ann, embdup, lmscore, mixing, neardup, packing, substring, toxicity, urlfilter, warc
+from edgeloom.llm import ann, common, embdup, lmscore, mixing, neardup, packing, substring, toxicity, urlfilter, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size int, th string"
 
@@ -53,6 +54,17 @@ def test_mixing_cases(spark, corpus):
     assert [r["taken"] for r in mixing.mixing_plan(documents(spark, [(1, None, "a"), (2, "", "b")])).collect()] == [0, 0]
 
 
+def test_mixing_takes_what_the_plan_says(spark):
+    """Rows that repeat each keep their own number of turns."""
+    rows = [(7, " ".join(["w"] * 4), "a")] * 40 + [(100 + i, " ".join(["v"] * (1 + i % 6)), "ab"[i % 2]) for i in range(58)] + [(None, "n n", None)] * 9
+    docs = documents(spark, rows)
+    planned = mixing.mixing_plan(docs).agg(F.sum("taken")).first()[0]
+    mixed = mixing.mix_documents(docs)
+    assert mixed.agg(F.sum(mixing.word_count(F.col("text")))).first()[0] == planned <= sum(len(t.split()) for _, t, _ in rows)
+    wide = docs.withColumn("k_id", F.lit(1)).withColumn("turn", F.lit("x")).withColumn("often", F.lit(2)).withColumn("row", F.lit(3))
+    assert mixing.mix_documents(wide).columns == wide.columns and mixing.mix_documents(wide).count() == mixed.count()
+
+
 def test_mixing_nears_targets(spark):
     rows = [(i, " ".join(["w"] * (5 + i % 40)), "abcd"[0 if i % 3 == 0 else i % 4]) for i in range(600)]
     plan = mixing.mixing_plan(documents(spark, rows), rows_per_slot=10).toPandas()
@@ -156,6 +168,47 @@ def test_substring_cases(spark, corpus, hot):
     assert kept == Counter((i, h) for (i, _, _, h), n in plain_substring(corpus).items() for _ in range(n))
     assert {r["n_chars"] == len(r["text"] or "") for r in texts.collect()} == {True}
     assert substring.dedup_report(documents(spark, []), hot=hot).count() == 0
+    wide = docs.select("*", *[F.lit(1).alias(c) for c in ("_id", "_th", "_kept", "kept", "row")])
+    assert substring.dedup_texts(wide, hot=hot).columns == wide.columns and substring.dedup_texts(wide, hot=hot).count() == len(corpus)
+
+
+def thue_morse(n):
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return ["".join("ab"[x ^ y] for x in bits) for y in (0, 1)]
+
+
+@pytest.mark.parametrize("hot", [20_000, 1])
+def test_words_that_polynomial_hashes_confuse(spark, hot):
+    """Two words of 1,024 letters that any polynomial hash modulo 2^64 takes for one."""
+    one, two = thue_morse(1024)
+    filler = prose(60, 77)
+    rows = [(i, " ".join([*filler[:30], w, *filler[30:]]), "a") for i, w in ((1, one), (2, two), (3, one))]
+    got = Counter(tuple(r) for r in substring.dedup_report(documents(spark, rows), hot=hot).collect())
+    assert got == plain_substring(rows)
+    if hot > 1:
+        classes = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(documents(spark, [(1, one, "a"), (2, two, "a"), (3, one, "a")])).collect()}
+        assert classes == {1: 1, 2: 2, 3: 1}
+        scores = {r["doc_id"]: r["log10_score"] for r in lmscore.score_documents(documents(spark, [(1, one, "a"), (2, two, "a"), (3, one, "a"), (4, one, "a")])).collect()}
+        assert scores[1] == scores[3] > scores[2]
+
+
+def test_windows_that_hash_alike_are_compared_by_words():
+    """With hashes of two bits, nearly all windows collide: the words decide."""
+    rows = [(i, " ".join(prose(20, i % 4) + prose(12, 50 + i)), "a") for i in range(12)]
+    weak = lambda self, lane=0: common.Words.plain(self, lane) & np.uint64(3)
+    common.Words.plain, real = common.Words.hashes, common.Words.hashes
+    try:
+        common.Words.hashes = weak
+        ids = pa.array([i for i, _, _ in rows], pa.int64())
+        table = pa.table([ids, pa.array([0] * 12, pa.int64()), pa.array([0] * 12, pa.int32()), pa.array([t.encode() for _, t, _ in rows])], names=["doc_id", "th", "start", "packed"])
+        spans = substring._sort_bucket(10)(table).to_pylist()
+    finally:
+        common.Words.hashes = real
+    gone = defaultdict(set)
+    for s in spans:
+        gone[s["doc_id"]].update(range(s["first"], s["last"]))
+    expected = {i: n for i, _, n, _ in plain_substring(rows, 10)}
+    assert {i: len(gone[i]) for i in expected} == expected
 
 
 def test_lm_scores_cases(spark, corpus):
@@ -229,8 +282,19 @@ def test_toxicity_cases(spark, corpus):
 
 def test_toxicity_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
-    judged = toxicity.score_documents(docs, labels).where("held_out").join(labels, "doc_id")
-    assert judged.where("predicted = toxic").count() / judged.count() >= 0.9
+    judged = toxicity.score_documents(docs, labels).where("held_out").join(labels, "doc_id").toPandas()
+    assert judged["score"].nunique() > len(judged) // 2
+    # A constant answer has accuracy 0.914 here; two of the six toxic rows hold no insult.
+    assert (judged["predicted"] == judged["toxic"]).mean() >= 0.93
+    assert judged.loc[judged["toxic"] == 1, "predicted"].mean() >= 0.6 and judged.loc[judged["toxic"] == 0, "predicted"].mean() <= 0.05
+
+
+def test_toxicity_sample_is_bounded(spark, corpus):
+    docs = documents(spark, [(i, "word " * (10 * i), "a") for i in range(1, 60)] + [(70, None, "a"), (71, "x" * 9000, "a")])
+    labels = spark.createDataFrame([(i, 1, int(i > 70)) for i in range(1, 72)], "doc_id long, quality int, toxic int")
+    got = toxicity.training_documents(docs, labels, train_bytes=5000)
+    assert sum(len(t) for _, label, t in got if label == 0) <= 5000 and all(t == "word " * (10 * i) for i, label, t in got if label == 0)
+    assert [i for i, label, _ in got if label == 1] == ([71] if __import__("zlib").crc32(b"71") % 5 else [])
 
 
 def test_url_cases(spark):
@@ -257,6 +321,18 @@ def test_warc_cases(spark):
     expected = [(i, len((t or "").encode()), sha(t), *({3: ("revisit", 1), 8: ("revisit", 7), None: ("revisit", 1)}.get(i, ("response", None)))) for i, _, t in rows]
     assert got == sorted(expected, key=str)
     assert warc.convert_pages(pages.limit(0)).count() == 0
+    # Every reference names a response that is there.
+    records = warc.convert_pages(pages).collect()
+    responses = {r["record_id"] for r in records if r["record_type"] == "response"}
+    assert {r["refers_to_id"] for r in records if r["record_type"] == "revisit"} <= responses and len(responses) == 5
+
+
+def test_warc_reads_blank_lines_and_long_payloads(spark, tmp_path):
+    """Payloads full of what records are cut at, next to each other in few files."""
+    bodies = ["\r\n\r\n" * 50, "\r\n" * 101, "\r" * 99 + "\n", "x" * 300_000 + "\r\n\r", "\r\n\r\r\n\r\n" * 30, "é\r\n\r\nWARC/1.1\r\n" * 40, "\n\r\n\r\n\r" * 40]
+    pages = spark.createDataFrame([(i, f"http://h/{i}", b + str(i % 3)) for i, b in enumerate(bodies * 5)], "page_id long, url string, html string")
+    got = {r["page_id"]: (r["payload_bytes"], r["payload_digest"]) for r in warc.convert_pages(pages.coalesce(2), str(tmp_path / "w")).collect()}
+    assert got == {r["page_id"]: (len(r["html"].encode()), hashlib.sha256(r["html"].encode()).hexdigest()) for r in pages.collect()}
 
 
 def test_pipeline_against_brute_force(spark, tmp_path):

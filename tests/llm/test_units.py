@@ -35,6 +35,37 @@ def test_hashes_depend_on_the_word_alone():
     assert a[1] == a[3] and len(set(a.tolist())) == 3
 
 
+def thue_morse(n, a="a", b="b"):
+    """Two words (or lists) that every polynomial hash modulo 2^64 confuses from 1,024 letters on."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return [(a, b)[x] for x in bits], [(b, a)[x] for x in bits]
+
+
+def test_hashes_tell_thue_morse_words_apart():
+    one, two = ("".join(w) for w in thue_morse(1024))
+    words = next(common.word_pieces(pa.array([one, two, one[:64], two[:64], one[:65], two[:65]])))[2]
+    for lane in (0, 1):
+        assert len(set(words.hashes(lane).tolist())) == 6
+    runs = [" ".join(w) for w in thue_morse(1024, "x", "y")]
+    words = next(common.word_pieces(pa.array(runs)))[2]
+    for n in (1, 2, 3, 5, 12, 50, 1024):
+        hashes = common.gram_hashes(words.hashes(), n)
+        text = [w for r in runs for w in r.split()]
+        grams = [tuple(text[i : i + n]) for i in range(len(hashes))]
+        assert len(set(hashes.tolist())) == len(set(grams))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="ab", min_size=1, max_size=150), min_size=1, max_size=30), st.integers(1, 9))
+def test_hashes_are_injective_on_small_sets(listed, n):
+    words = next(common.word_pieces(pa.array([" ".join(listed)])))[2]
+    for lane in (0, 1):
+        pairs = {(w, h) for w, h in zip(listed, words.hashes(lane).tolist())}
+        assert len(pairs) == len({w for w, _ in pairs}) == len({h for _, h in pairs})
+    grams = common.gram_hashes(words.hashes(), n).tolist()
+    assert len(set(grams)) == len({tuple(listed[i : i + n]) for i in range(len(listed) - n + 1)})
+
+
 def test_minhash_estimates_weighted_jaccard():
     rng = np.random.default_rng(0)
     value = rng.integers(1, 1 << 62, 300).astype(np.uint64)
@@ -95,7 +126,7 @@ def test_arc_roundtrip(version):
     data = warc.arc_version_block(version) + b"".join(warc.arc_record(version, f"http://h/a b{i}", p) for i, p in enumerate(payloads))
     head, *records = warc.parse_arc(data)
     assert head["url"].startswith("filedesc:") and [r["version"] for r in records] == [version] * 3
-    out = b"".join(warc.arc_to_warc(r, i, None, False) + b"\r\n\r\n" for i, r in enumerate(records))
+    out = b"".join(warc.arc_to_warc(r, i) + b"\r\n\r\n" for i, r in enumerate(records))
     back = list(warc.parse_warc(io.BytesIO(out)))
     assert [b.partition(b"\r\n\r\n")[2] for _, b in back] == payloads
     assert [warc.page_of(f["warc-record-id"]) for f, _ in back] == [0, 1, 2]
@@ -135,27 +166,50 @@ def test_subsequence_kernel_by_definition():
 
 
 def test_letters_drop_points_and_join_spelled_words():
-    w = toxicity.letters(["I-d.i_o*t!  i d i o t", "", "A b"])
+    w, sentence = toxicity.letters(["I-d.i_o*t!  i d i o t", "", "A b"])
     spelled = [w.data[a:b].tobytes() for a, b in zip(w.starts, w.ends)]
     idiot = bytes(0x40 + ord(c) - 96 for c in "idiot")
     assert spelled.count(idiot) == 2 and list(w.counts) == [7, 0, 2]
+    # After "!" a new sentence; the joined word is one by itself.
+    assert [int(x) for x in np.unique(sentence[:7], return_counts=True)[1]] == [1, 5, 1] and sentence[7] == sentence[8]
+
 
+def judge(model, texts):
+    return model.curve(toxicity.Scorer(model).most_toxic(texts))
 
-def test_toxicity_learns_and_bends():
+
+def syllables(rng, n):
+    return "".join(rng.choice(["ra", "to", "mi", "ne", "sol", "ka"]) for _ in range(n))
+
+
+@pytest.mark.parametrize("docs", [200, 101, 100, 99, 60])
+def test_toxicity_learns_and_bends(docs):
+    """Sentences decide, at any number of documents; inserted letters and gaps do not hide an insult."""
     rng = random.Random(5)
-    clean = ["".join(rng.choice(["ra", "to", "mi", "ne", "sol", "ka"]) for _ in range(rng.randint(1, 4))) for _ in range(300)]
+    clean = [syllables(rng, rng.randint(1, 4)) for _ in range(300)]
     rows = []
-    for d in range(200):
+    for d in range(docs):
+        text = []
         for _ in range(5):
             words = [rng.choice(clean) for _ in range(8)]
-            if d < 60:
+            if d * 10 < docs * 3:
                 words[rng.randrange(8)] = rng.choice(["gruzzwick", "plibfoot"])
-            rows.append((d, int(d < 60), " ".join(words)))
+            text.append(" ".join(words) + ".")
+        rows.append((d, int(d * 10 < docs * 3), " ".join(text)))
     model = toxicity.train(rows)
-    scorer = toxicity.Scorer(model)
-    score = model.curve(scorer.most_toxic(["tora gruzzwick mine", "tora gruzzxwick mine", "g.r.u.z.z.w.i.c.k", " ".join(clean[:40]), "", "g r u z z w i c k"]))
-    assert (score[[0, 1, 2, 5]] > 0.5).all() and (score[[3, 4]] < 0.5).all()
-    assert toxicity.train([]) is None and toxicity.train(rows[:1]) is None
+    insults = ["tora gruzzwick mine", "g.r.u.z.z.w.i.c.k", "g r u z z w i c k", "sol GRUZZWICK!"]
+    bent = [f"ka {w[:k]}{c}{w[k:]} tora" for w in ("gruzzwick", "plibfoot") for k in range(1, len(w)) for c in "xqe"]
+    score, bent = judge(model, insults), judge(model, bent)
+    assert score.min() > 0.8 and bent.min() > 0.5 and bent.mean() > 0.7, (score, np.sort(bent)[:5])
+    fresh = judge(model, [". ".join(" ".join(rng.choice(clean) for _ in range(8)) for _ in range(5)) for _ in range(100)])
+    assert (fresh < 0.5).mean() >= 0.95 and judge(model, [""])[0] < 0.5
+
+
+def test_toxicity_needs_both_labels():
+    assert toxicity.train([]) is None and toxicity.train([(1, 1, "a b c")]) is None and toxicity.train([(1, 0, "a b c")]) is None
+    model = toxicity.train([(1, 1, "gruzzwick here"), (2, 0, "nothing else")])
+    toxic, clean = judge(model, ["gruzzwick here", "nothing else"])
+    assert toxic > clean
 
 
 def test_toxicity_learns_rare_insults():
@@ -165,12 +219,9 @@ def test_toxicity_learns_rare_insults():
     vocabulary, insults = [word(3, 9) for _ in range(3000)], [word(8, 8) for _ in range(400)]
     text = lambda n, *more: " ".join([*rng.sample(vocabulary, n), *more])
     for docs, kinds, caught, spared in ((1200, 400, 0.9, 0.85), (60, 6, 0.9, 0.85), (40, 40, 0.0, 0.8)):
-        rows = [(d, int(d < docs), text(29, insults[d % kinds]) if d < docs else text(30)) for d in range(3 * docs)]
-        model = toxicity.train(rows)
-        score = lambda texts: model.curve(toxicity.Scorer(model).most_toxic(texts))  # noqa: B023, E731
-        assert (score([text(29, i) for i in insults[:kinds]]) > 0.5).mean() >= caught
-        clean = score([text(30) for _ in range(300)])
-        assert (clean < 0.5).mean() >= spared and clean.min() > 0
+        model = toxicity.train([(d, int(d < docs), text(29, insults[d % kinds]) if d < docs else text(30)) for d in range(3 * docs)])
+        found, clean = (judge(model, [text(29, i) for i in insults[:kinds]]) > 0.5).mean(), judge(model, [text(30) for _ in range(300)])
+        assert found >= caught and (clean < 0.5).mean() >= spared and clean.min() > 0, (docs, found, (clean < 0.5).mean())
 
 
 def test_toxicity_weighs_words_by_class():
@@ -181,7 +232,7 @@ def test_toxicity_weighs_words_by_class():
     insults = ["gruzzwick", "plibfoot"]
     rows = [(d, int(d < 300), text(9, insults[d % 2 if d < 300 else 0]) if d < 300 or d % 15 == 0 else text(9, "else")) for d in range(900)]
     model = toxicity.train(rows)
-    toxic, clean = (model.curve(toxicity.Scorer(model).most_toxic([text(9, *more) for _ in range(100)])) for more in (insults[:1], ["else"]))
+    toxic, clean = (judge(model, [text(9, *more) for _ in range(100)]) for more in (insults[:1], ["else"]))
     assert (toxic > 0.5).mean() >= 0.95 and (clean < 0.5).mean() >= 0.95
 
 
