@@ -58,7 +58,7 @@ NEGATIVES = 4000  # words of clean sentences drawn for the first round; half as
 ROUNDS = 4
 BENT = 4  # times a positive sentence is trained with a letter inserted
 COST = 100.0
-REJECTED = 0.05  # of the clean documents kept aside, at most
+REJECTED = 0.1  # of the clean documents kept aside, at most
 CHANCE = 0.05  # that any word at all is taken for one far apart
 CACHE = 400_000
 
