@@ -39,10 +39,16 @@ def hypergeometric_upper(k: int, marked: int, drawn: int, total: int) -> float:
     return min(1.0, sum(exp(log_choose(marked, x) + log_choose(total - marked, drawn - x) - whole) for x in range(max(k, drawn + marked - total), top + 1)))
 
 
+def one_core_excess(seen: int, above: int, low: int, high: int, inflate: float = 1.5) -> int:
+    """``inflate`` times what a marker has in core 1 beyond core 1's size times its share in higher cores."""
+    expected = float(np.round(low * above / high)) if high else 0.0
+    return int(np.ceil(inflate * (seen - expected)))
+
+
 def one_core(edges: DataFrame, ratio: float = 0.9, p: float = 0.05, inflate: float = 1.5, seed: int = 0) -> DataFrame:
     """Nodes of core 1 to remove: for markers over-represented there (Fisher exact, greater),
-    ``inflate`` times the excess over expectation, drawn at random. Components whose core-1
-    share exceeds ``ratio`` are left alone."""
+    ``inflate`` times the excess over what the marker's share in higher cores lets expect
+    (rounded), drawn at random. Components whose core-1 share exceeds ``ratio`` are left alone."""
 
     def run(ids, i, j, of, names):
         core = peel(len(ids), i, j)
@@ -53,9 +59,9 @@ def one_core(edges: DataFrame, ratio: float = 0.9, p: float = 0.05, inflate: flo
         gone = []
         for m in range(len(names)):
             mine = of == m
-            seen, expected = int((mine & low).sum()), mine.sum() * low.mean()
-            if seen > expected and hypergeometric_upper(seen, int(mine.sum()), int(low.sum()), len(ids)) < p:
-                excess = min(seen, int(np.ceil(inflate * (seen - expected))))
+            seen = int((mine & low).sum())
+            excess = min(seen, one_core_excess(seen, int((mine & ~low).sum()), int(low.sum()), int((~low).sum()), inflate))
+            if excess > 0 and hypergeometric_upper(seen, int(mine.sum()), int(low.sum()), len(ids)) < p:
                 gone.append(rng.choice(np.flatnonzero(mine & low), excess, replace=False))
         return ids[np.sort(np.concatenate(gone))] if gone else ids[:0]
 

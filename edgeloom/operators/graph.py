@@ -18,16 +18,22 @@ from edgeloom.operators.edges import crossing_edges, endpoints, keys_of, nodes
 from edgeloom.operators.spatial import links
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write to the folder of spark.checkpoint.dir (a temporary one only where unset) and read back."""
-    spark: SparkSession = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; in local mode alone a temporary one where unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="edgeloom-")
         spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/edgeloom/{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write to the shared folder and read back."""
+    path = f"{shared_folder(df.sparkSession)}/edgeloom/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def connected_components(pairs: DataFrame) -> DataFrame:
@@ -167,13 +173,14 @@ def modularity_communities(edges: DataFrame, resolution: float = 1.0, seed: int
     return edges.select(*keys, "umi1", "umi2").groupBy(*keys).applyInPandas(run, schema)
 
 
-def communities_of(n: int, i: np.ndarray, j: np.ndarray, resolution: float, seed: int) -> np.ndarray:
+def communities_of(n: int, i: np.ndarray, j: np.ndarray, resolution: float, seed: int, weight: np.ndarray | None = None, inner: np.ndarray | None = None) -> np.ndarray:
+    """Community of each of n nodes; ``weight`` of the edges (i, j) and ``inner`` weight of the nodes, where these are communities themselves."""
     rng = np.random.default_rng(seed)
     of = np.arange(n)
-    weight = np.ones(len(i))
+    weight = np.ones(len(i)) if weight is None else weight.astype(float)
     size = n
     a, b = i, j
-    self_weight = np.zeros(n)
+    self_weight = np.zeros(n) if inner is None else inner.astype(float)
     while True:
         neighbours = [dict() for _ in range(size)]
         for x, y, w in zip(a.tolist(), b.tolist(), weight.tolist()):
@@ -295,21 +302,74 @@ def component_names(members: DataFrame) -> DataFrame:
     return members.select("component", "umi").groupBy("component").applyInPandas(run, f"component {kind}, name string")
 
 
-def find_components(edges: DataFrame, min_reads: int = 1, rounds: int = 2, resolution: float = 1.0, least: int | None = None, most: int | None = None, merge_least: int | None = None) -> DataFrame:
-    """Edge list to components: clashes out, reads filtered, labels propagated, communities
-    refined inside connected parts, crossing edges cut, sizes filtered, components named."""
+def hybrid_communities(edges: DataFrame, rounds: int = 2, resolution: float = 1.0, seed: int = 1) -> DataFrame:
+    """(umi, community): labels propagated by joins first; the graph of the propagated communities,
+    weighted by the edges between and within them, is then moved by modularity.
+
+    Only that smaller graph is grouped, one connected part of it a group.
+    """
+    labels = cut_lineage(label_propagation(edges, rounds))
+    joined = crossing_edges(edges.select("umi1", "umi2").distinct(), labels)
+    counted = cut_lineage(joined.groupBy(F.least("c1", "c2").alias("umi1"), F.greatest("c1", "c2").alias("umi2")).agg(F.count("*").alias("w")))
+    parts = edge_components(counted.where("umi1 <> umi2"))
+    placed = counted.join(parts.withColumnRenamed("umi", "umi1"), "umi1", "left").withColumn("component", F.coalesce("component", "umi1"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, back = np.unique(pdf[["umi1", "umi2"]].to_numpy(), return_inverse=True)
+        i, j = back.reshape(-1, 2).T
+        w, own = pdf["w"].to_numpy(), i == j
+        inner = np.bincount(i[own], weights=w[own], minlength=len(ids))
+        found = communities_of(len(ids), i[~own], j[~own], resolution, seed, w[~own], inner)
+        name = np.full(found.max(initial=0) + 1, len(ids))
+        np.minimum.at(name, found, np.arange(len(ids)))
+        return pd.DataFrame({"community": ids, "wide": ids[name[found]]})
+
+    wide = placed.select("component", "umi1", "umi2", "w").groupBy("component").applyInPandas(run, "community long, wide long")
+    return labels.join(wide, "community").select("umi", F.col("wide").alias("community"))
+
+
+def _within(edges: DataFrame, communities: DataFrame) -> DataFrame:
+    """edges whose ends share a community, with ``component`` their connected part."""
+    kept = crossing_edges(edges, communities).where("NOT crossing").select("umi1", "umi2").distinct()
+    inside = cut_lineage(edges.drop("component").join(kept, ["umi1", "umi2"]))
+    whole = edge_components(inside).select(F.col("umi").alias("umi1"), F.col("component").cast("string").alias("component"))
+    return inside.join(whole, "umi1")
+
+
+def find_components(
+    edges: DataFrame,
+    min_reads: int = 1,
+    rounds: int = 2,
+    resolution: float = 1.0,
+    least: int | None = None,
+    most: int | None = None,
+    merge_least: int | None = None,
+    depth: int = 1,
+    refine_resolution: float = 0.01,
+    prune: int = 0,
+) -> DataFrame:
+    """Edge list to named components.
+
+    Clashes go and reads are filtered; labels are propagated and their communities joined by
+    modularity (``hybrid_communities``); crossing edges are cut; parts below ``prune`` nodes go;
+    ``depth`` - 1 rounds look for communities inside each part, which is the largest thing
+    one task sees; communities with ``merge_least`` crossing edges stay joined; sizes are
+    filtered; components are named by their nodes. ``rounds`` = 0 skips all communities.
+    """
     from edgeloom.operators.edges import clashing, filter_by_size, remove_nodes
     from edgeloom.operators.edges import min_reads as at_least
 
-    clean = cut_lineage(at_least(remove_nodes(edges, clashing(edges)), min_reads))
-    whole = edge_components(clean).withColumnRenamed("umi", "umi1").withColumn("component", F.col("component").cast("string"))
-    parted = clean.drop("component", "sample").join(whole, "umi1")
-    if resolution:
-        found = modularity_communities(parted, resolution).select("umi", "community")
-        if merge_least is not None:
-            found = merge_communities(parted, found, merge_least)
-        kept = crossing_edges(parted, found).where("NOT crossing").select("umi1", "umi2", F.col("c1").cast("string").alias("component")).distinct()
-        parted = parted.drop("component").join(kept, ["umi1", "umi2"])
+    clean = cut_lineage(at_least(remove_nodes(edges, clashing(edges)), min_reads)).drop("component", "sample")
+    join_up = lambda df, found: found if merge_least is None else merge_communities(df, found, merge_least)
+    if rounds:
+        parted = _within(clean, join_up(clean, hybrid_communities(clean, rounds, resolution)))
+    else:
+        parted = _within(clean, endpoints(clean).withColumn("community", F.lit(0)))
+    if prune:
+        parted = filter_by_size(parted, prune, None)
+    for _ in range(depth - 1):
+        found = cut_lineage(modularity_communities(parted, refine_resolution).select("umi", "community"))
+        parted = _within(parted, join_up(parted, found))
     sized = filter_by_size(parted, least, most)
     names = component_names(endpoints(sized, "component"))
     return sized.join(names, "component").drop("component").withColumnRenamed("name", "component")
