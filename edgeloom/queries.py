@@ -179,12 +179,13 @@ def community_pair_counts(spark, sf_dir):
     return edges.community_pairs(e, _communities(e), 3, 0.01)
 
 
-@query(WITH_EDGES + " SELECT sample, component, umi1, umi2, marker_1, marker_2, read_count, uei_count FROM edgelist WHERE sample = 'ASIA' UNION ALL SELECT sample, component, umi1, umi2, marker_1, marker_2, read_count, uei_count FROM edgelist WHERE sample = 'EUROPE'")
+@query(WITH_EDGES + " SELECT sample, component, umi1, umi2, marker_1, marker_2, read_count, uei_count FROM edgelist")
 def sample_union(spark, sf_dir):
     from edgeloom.plans.dataset import union_samples
 
     full = edgelist(spark, sf_dir)
-    return union_samples({s: full.where(F.col("sample") == s).drop("sample") for s in ("ASIA", "EUROPE")}).select(*full.columns)
+    names = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+    return union_samples({s: full.where(F.col("sample") == s).drop("sample") for s in names}).select(*full.columns)
 
 
 @query(WITH_EDGES + " SELECT component || '_' || sample AS component, sample, umi1, umi2, marker_1, marker_2, read_count, uei_count FROM edgelist")
@@ -196,11 +197,11 @@ def sample_aggregate(spark, sf_dir):
     return aggregate_samples({s: e.where(F.col("sample") == s).drop("sample") for s in names})
 
 
-@query(WITH_EDGES + " SELECT * FROM edgelist WHERE sample IN ('ASIA', 'EUROPE') AND component IN ('CHINA', 'FRANCE', 'JAPAN')")
+@query(WITH_EDGES + " SELECT * FROM edgelist WHERE sample IN ('ASIA', 'EUROPE') AND component IN ('NATION_2', 'NATION_7', 'NATION_12')")
 def dataset_filter_edgelist(spark, sf_dir):
     from edgeloom.plans.dataset import Dataset
 
-    return Dataset(edgelist(spark, sf_dir)).filter(samples=["ASIA", "EUROPE"], components=["CHINA", "FRANCE", "JAPAN"], markers=["M1"], validate=False).edgelist()
+    return Dataset(edgelist(spark, sf_dir)).filter(samples=["ASIA", "EUROPE"], components=["NATION_2", "NATION_7", "NATION_12"], markers=["M1"]).edgelist()
 
 
 # ---- matrix ---------------------------------------------------------------
@@ -514,16 +515,6 @@ def a_node_projection(spark, sf_dir):
     return spatial.a_projection(edgelist(spark, sf_dir))
 
 
-TREE_SQL = """WITH RECURSIVE g AS (SELECT c_custkey AS a, c_custkey // 3 AS b FROM customer WHERE c_custkey % 7 <> 0), l AS (SELECT a, b FROM g UNION ALL SELECT b, a FROM g),
-  reach(v, c) AS (SELECT a, a FROM l UNION SELECT l.b, r.c FROM reach r JOIN l ON l.a = r.v)"""
-
-
-@query(TREE_SQL + " SELECT v AS node, min(c) AS component FROM reach GROUP BY v")
-def connected_components(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").where(F.col("c_custkey") % 7 != 0)
-    return graph.connected_components(c.select(F.col("c_custkey").alias("a"), F.floor(F.col("c_custkey") / 3).cast("long").alias("b")))
-
-
 FOREST_SQL = """WITH RECURSIVE g AS (SELECT c_nationkey * 1000000000::BIGINT + c_custkey AS a, c_nationkey * 1000000000::BIGINT + c_custkey // 3 AS b FROM customer), l AS (SELECT a, b FROM g UNION ALL SELECT b, a FROM g),
   reach(v, c) AS (SELECT a, a FROM l UNION SELECT l.b, r.c FROM reach r JOIN l ON l.a = r.v)"""
 
@@ -639,17 +630,6 @@ def representative_top1(spark, sf_dir):
     return reads.most_common(table(spark, sf_dir, "lineitem"), ["l_partkey"], "l_suppkey")
 
 
-@query("""WITH a AS (SELECT p_partkey AS marker_id, p_brand AS sequence FROM part WHERE p_partkey % 3 <> 0), b AS (SELECT p_partkey AS marker_id, CASE WHEN p_partkey % 5 = 0 THEN p_type ELSE p_brand END AS sequence FROM part WHERE p_partkey % 4 <> 0)
-  SELECT coalesce(a.marker_id, b.marker_id) AS marker_id, CASE WHEN a.marker_id IS NULL THEN 'added' WHEN b.marker_id IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.marker_id = b.marker_id WHERE a.marker_id IS NULL OR b.marker_id IS NULL OR a.sequence IS DISTINCT FROM b.sequence""")
-def panel_diff(spark, sf_dir):
-    from edgeloom.sources.panel import diff_panels
-
-    p = table(spark, sf_dir, "part")
-    a = p.where(F.col("p_partkey") % 3 != 0).select(F.col("p_partkey").alias("marker_id"), F.col("p_brand").alias("sequence"))
-    b = p.where(F.col("p_partkey") % 4 != 0).select(F.col("p_partkey").alias("marker_id"), F.when(F.col("p_partkey") % 5 == 0, F.col("p_type")).otherwise(F.col("p_brand")).alias("sequence"))
-    return diff_panels(a, b)
-
-
 @query("""WITH a AS (SELECT p_partkey AS marker_id, p_brand AS sequence FROM part), b AS (SELECT CASE WHEN p_partkey % 4 = 0 THEN -1 - p_partkey ELSE p_partkey END AS marker_id, CASE WHEN p_partkey % 5 = 0 THEN p_type ELSE p_brand END AS sequence FROM part)
   SELECT coalesce(a.marker_id, b.marker_id) AS marker_id, CASE WHEN a.marker_id IS NULL THEN 'added' WHEN b.marker_id IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.marker_id = b.marker_id WHERE a.marker_id IS NULL OR b.marker_id IS NULL OR a.sequence IS DISTINCT FROM b.sequence""")
 def panel_diff_whole(spark, sf_dir):
@@ -697,3 +677,6 @@ def pmds_layout(spark, sf_dir):
 @query()
 def one_core_denoise(spark, sf_dir):
     return denoise.one_core(edgelist(spark, sf_dir))
+
+
+from edgeloom import catalog  # noqa: E402, F401  registers more of the same
