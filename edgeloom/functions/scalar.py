@@ -69,3 +69,27 @@ def unit_length(x: Column, y: Column, z: Column) -> list[Column]:
     """Coordinates on the unit sphere; the origin stays null."""
     norm = F.sqrt(x * x + y * y + z * z)
     return [F.when(norm > 0, c / norm) for c in (x, y, z)]
+
+
+def edit_distance(a: Column, b: Column) -> Column:
+    return F.levenshtein(a, b)
+
+
+def pack_bits(sequence: Column, alphabet: str, bits: int) -> Column:
+    """Letters as numbers of ``bits`` bits each, first letter lowest; letters outside the alphabet
+    count as its last. Fits 63 // bits letters."""
+    code = lambda c: F.when(F.instr(F.lit(alphabet), c) > 0, F.instr(F.lit(alphabet), c) - 1).otherwise(len(alphabet) - 1)
+    return F.aggregate(F.reverse(F.split(sequence, "")), F.lit(0).cast("long"), lambda s, c: s * (1 << bits) + code(c))
+
+
+def unpack_bits(packed: Column, alphabet: str, bits: int, length: int) -> Column:
+    letter = lambda i: F.substring(F.lit(alphabet), F.call_function("shiftright", packed, i * bits).bitwiseAND(F.lit((1 << bits) - 1)).cast("int") + 1, F.lit(1))
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(length - 1)), letter), "")
+
+
+def parse_size(text: Column) -> Column:
+    """A number with an optional K, M or G (thousands, millions, milliards); null where it is none."""
+    value = F.regexp_extract(text, r"^(\d+(?:\.\d+)?)[KMGkmg]?$", 1)
+    unit = F.upper(F.regexp_extract(text, r"([KMGkmg])$", 1))
+    scale = F.when(unit == "K", 1e3).when(unit == "M", 1e6).when(unit == "G", 1e9).otherwise(1.0)
+    return F.when(value != "", value.cast("double") * scale)

@@ -12,8 +12,13 @@ from edgeloom.operators.graph import stranded_nodes
 def hash_mapping(samples: DataFrame, antibodies: DataFrame) -> DataFrame:
     """(antibody, sample): an antibody belongs to the sample whose ``-hash_index`` ends its name; null
     where none. Raises where one antibody fits two samples."""
-    ends = F.expr("endswith(antibody, concat('-', hash_index))")
-    joined = antibodies.join(samples.select("sample", F.col("hash_index").cast("string").alias("hash_index")), ends, "left").select("antibody", "sample").distinct()
+    # Every ending after a dash, so that the match is an equality join.
+    parts = F.split("antibody", "-")
+    endings = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.concat_ws("-", F.slice(parts, i, F.size(parts))))
+    ended = antibodies.select("antibody", F.explode_outer(F.when(F.size(parts) > 1, endings)).alias("hash_index"))
+    joined = ended.join(samples.select("sample", F.col("hash_index").cast("string").alias("hash_index")), "hash_index", "left").select("antibody", "sample").distinct()
+    known = joined.where("sample IS NOT NULL")
+    joined = known.unionByName(joined.join(known, "antibody", "left_anti"))
     twice = joined.groupBy("antibody").agg(F.count("sample").alias("n")).where("n > 1").limit(5).collect()
     if twice:
         raise ValueError(f"antibodies of several samples: {sorted(r['antibody'] for r in twice)}")

@@ -74,6 +74,10 @@ class Dataset:
             raise ValueError(f"no edgelist table in {missing}")
         rest = set().union(*every.values()) - {"edgelist", "metadata"}
         tables = {t: union_samples({n: read_table(spark, p, t) for n, p in paths.items() if t in every[n]}) for t in rest}
+        described = {n: p for n, p in paths.items() if "metadata" in every[n]}
+        if described:
+            pairs = F.explode(F.from_json("value", "map<string,string>")).alias("key", "value")
+            tables["metadata"] = union_samples({n: read_table(spark, p, "metadata").select(pairs) for n, p in described.items()})
         edges = union_samples({n: normalize_edgelist(read_table(spark, p, "edgelist")) for n, p in paths.items()})
         return cls(edges, tables)
 
@@ -141,6 +145,39 @@ class Dataset:
     def obs(self, isotypes: list[str]) -> DataFrame:
         return matrix.component_metrics(self.edgelist(), isotypes)
 
+    def var(self) -> DataFrame:
+        """Marker table: counts, shares and components of each marker."""
+        return matrix.antibody_metrics(self.counts())
+
+    def uns(self, key: str | None = None) -> DataFrame:
+        """The samples' metadata, as (sample, key, value)."""
+        found = self._narrow(self.tables["metadata"])
+        return found if key is None else found.where(F.col("key") == key)
+
+    def obsm_names(self) -> list[str]:
+        """Names of stored tables with one vector per component."""
+        return sorted(n.removeprefix("obsm_") for n in self.tables if n.startswith("obsm_"))
+
+    def obsm(self, name: str) -> DataFrame:
+        return self._narrow(self.tables[f"obsm_{name}"])
+
+    def record_batches(self, batch_size: int = 1_000_000):
+        """The edge list as Arrow record batches of at most ``batch_size`` rows, a partition at a time."""
+        import itertools
+
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        edges = self.edgelist()
+        schema, rows = to_arrow_schema(edges.schema), edges.toLocalIterator(prefetchPartitions=True)
+        while part := list(itertools.islice(rows, batch_size)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), schema)], schema=schema)
+
+    def iterate_components(self):
+        """(sample, component, edges) of each component in order; use groupBy where all are wanted at once."""
+        for row in self.components().orderBy("sample", "component").toLocalIterator():
+            yield row["sample"], row["component"], self.edgelist().where((F.col("sample") == row["sample"]) & (F.col("component") == row["component"]))
+
     def sql(self, text: str, **params) -> DataFrame:
         """A query of one's own over views ``edgelist`` and the other tables."""
         self.edgelist().createOrReplaceTempView("edgelist")
@@ -153,5 +190,5 @@ class Dataset:
         from edgeloom.sources.store import write_store
 
         one = self.filter(samples=[sample], validate=False)
-        tables = {n: one._narrow(df).drop("sample") for n, df in self.tables.items()}
+        tables = {n: one._narrow(df).drop("sample") for n, df in self.tables.items() if n != "metadata"}
         write_store(self.edges.sparkSession, path, one.edgelist().drop("sample"), tables, {"sample_name": sample}, mode)

@@ -57,8 +57,20 @@ def filter_store(spark: SparkSession, path: str, components: list[str], target:
 
 
 def write_partitioned(edges: DataFrame, path: str, most: int = 10_000) -> None:
-    """One folder per component; refused where that would make more than ``most`` folders."""
-    n = edges.select("component").distinct().limit(most + 1).count()
-    if n > most:
-        raise ValueError(f"more than {most} components: write one sorted table instead")
-    edges.repartition("component").write.partitionBy("component").parquet(path)
+    """One folder per component. Beyond ``most`` components that would be too many folders: they
+    are dealt to ``most`` folders ``bucket=`` by hash, each component whole in one."""
+    few = edges.select("component").distinct().limit(most + 1).count() <= most
+    by = "component" if few else "bucket"
+    placed = edges if few else edges.withColumn("bucket", F.pmod(F.xxhash64("component"), F.lit(most)).cast("int"))
+    placed.repartition(by).write.partitionBy(by).parquet(path)
+
+
+def read_partitioned(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_partitioned`` wrote, component names as strings whatever they look like."""
+    found = spark.read.parquet(path)
+    return found.drop("bucket") if "bucket" in found.columns else found.withColumn("component", F.col("component").cast("string"))
+
+
+def write_in_order(df: DataFrame, offset: str, path: str) -> None:
+    """Rows by offset, across files and within each."""
+    df.repartitionByRange(offset).sortWithinPartitions(offset).write.option("compression", "zstd").parquet(path)
