@@ -10,13 +10,14 @@ could still reach the fifth best, by ``MARGIN`` deviations of its own
 quantisation error, is reranked too - so groups of near-equal vectors are not
 cut by the first shortlist.
 
-How it scales: every row is encoded in one pass. Queries are taken in blocks of
-``QUERY_BLOCK`` (the only thing broadcast, so its size is fixed) against all
-rows; each task keeps five rows a query.
+How it scales: every row is encoded in one pass. Queries are a table as well: index
+blocks of about ``INDEX_BLOCK`` rows and query blocks of about ``QUERY_BLOCK`` meet pair
+by pair, each pair a key of its own, in one job; nothing passes the driver but the
+sample and the codebooks. A pair of blocks keeps k rows a query.
 
 Defined cases: vectors that are null, zero, of another length than most of the
 sample, or hold null or non-finite components, and rows with a null vec_id,
-take no part; rows that repeat a vec_id count once (at their best score);
+take no part; vectors of any length are taken whole; rows that repeat a vec_id count once (at their best score);
 ties go to the smaller vec_id; an empty table gives an empty result; other
 columns are ignored.
 """
@@ -39,7 +40,9 @@ BEAM = 8
 SAMPLE = 10_000
 SHORTLIST = 200
 MARGIN = 3.0
-QUERY_BLOCK = 2048
+QUERY_BLOCK = 4096
+INDEX_BLOCK = 20_000
+CHUNK = 64  # queries scored at once
 
 
 def train_codebooks(sample: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = 8, seed: int = 3) -> np.ndarray:
@@ -123,84 +126,88 @@ def build_index(vectors: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, np
 
 
 def search_block(q_ids, queries, ids, vectors, codes, norms, errors, codebooks, k, shortlist, margin):
-    """Exact best k of one block of rows for each query: (query, row id, cosine) arrays."""
-    tables = np.einsum("qd,bwd->qbw", (queries / np.linalg.norm(queries, axis=1, keepdims=True)).astype(np.float32), codebooks)
-    spread = margin * errors / np.sqrt(vectors.shape[1])
-    columns = [codes[:, b] for b in range(codes.shape[1])]
+    """Exact best k of one block of rows for each query: (query, row id, cosine) arrays.
+
+    Each query reranks the ``shortlist`` rows that score best, then all rows whose score
+    could still pass the k-th of those within the margin.
+    """
+    unit = (queries / np.linalg.norm(queries, axis=1, keepdims=True)).astype(np.float32)
+    spread = (margin * errors / np.sqrt(vectors.shape[1])).astype(np.float32)
+    scale = 1 / np.maximum(norms, 1e-12).astype(np.float32)
+    columns = [np.ascontiguousarray(codes[:, b]) for b in range(codes.shape[1])]
+    n = min(max(shortlist, k + 1), len(ids))
     out_q, out_i, out_s = [], [], []
-    for q in range(len(q_ids)):
-        score = np.zeros(len(ids), dtype=np.float32)
+    for lo in range(0, len(q_ids), CHUNK):
+        tables = np.einsum("qd,bwd->bqw", unit[lo : lo + CHUNK], codebooks)
+        score = np.zeros((tables.shape[1], len(ids)), np.float32)
         for b, column in enumerate(columns):
-            score += tables[q, b][column]
-        score /= np.maximum(norms, 1e-12)
-        own = ids == q_ids[q]
-        score[own] = -np.inf
-        n = min(shortlist, len(ids))
-        first = np.argpartition(-score, n - 1)[:n]
-        exact = exact_cosine(np.broadcast_to(queries[q], (n, queries.shape[1])), vectors[first])
-        exact[own[first]] = -np.inf
-        if n > k and n < len(ids):
-            floor = np.sort(exact)[-k]
-            rest = score + spread >= floor
-            rest[first] = False
-            rest = np.flatnonzero(rest & ~own)
-            if len(rest):
-                first = np.concatenate([first, rest])
-                exact = np.concatenate([exact, exact_cosine(np.broadcast_to(queries[q], (len(rest), queries.shape[1])), vectors[rest])])
-        order = np.lexsort((ids[first], -exact))
-        taken, seen = [], set()
-        for o in order:
-            if not np.isfinite(exact[o]) or len(taken) == k:
-                break
-            if ids[first[o]] not in seen:
-                seen.add(ids[first[o]])
-                taken.append(o)
-        out_q.append(np.full(len(taken), q_ids[q]))
-        out_i.append(ids[first[taken]])
-        out_s.append(exact[taken])
+            score += tables[b][:, column]
+        score *= scale
+        for q, row in zip(range(lo, lo + len(score)), score):
+            own = np.flatnonzero(ids == q_ids[q])
+            row[own] = -np.inf
+            first = np.argpartition(-row, n - 1)[:n]
+            exact = _cosines(queries[q], vectors[first])
+            exact[np.isin(first, own)] = -np.inf
+            if n > k and n < len(ids):
+                rest = row + spread >= np.sort(exact)[-k]
+                rest[first] = False
+                rest[own] = False
+                rest = np.flatnonzero(rest)
+                if len(rest):
+                    first = np.concatenate([first, rest])
+                    exact = np.concatenate([exact, _cosines(queries[q], vectors[rest])])
+            order = np.lexsort((ids[first], -exact))
+            taken, seen = [], set()
+            for o in order:
+                if not np.isfinite(exact[o]) or len(taken) == k:
+                    break
+                if ids[first[o]] not in seen:
+                    seen.add(ids[first[o]])
+                    taken.append(o)
+            out_q.append(np.full(len(taken), q_ids[q]))
+            out_i.append(ids[first[taken]])
+            out_s.append(exact[taken])
     return np.concatenate(out_q), np.concatenate(out_i), np.concatenate(out_s)
 
 
-def nearest(vectors: DataFrame, every: int = 50, k: int = 5, shortlist: int = SHORTLIST, margin: float = MARGIN) -> DataFrame:
+def _cosines(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    return exact_cosine(np.broadcast_to(query, rows.shape), rows)
+
+
+def nearest(vectors: DataFrame, every: int = 50, k: int = 5, shortlist: int = SHORTLIST, margin: float = MARGIN, index_block: int = INDEX_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row whose vec_id ``every`` divides."""
     index, codebooks = build_index(vectors)
     spark = vectors.sparkSession
-    schema = "query_id long, vec_id long, score double"
-    found = None
-    wanted = index.where(F.col("vec_id") % every == 0).select("vec_id", "embedding").dropDuplicates(["vec_id"]).orderBy("vec_id")
-    block: list = []
-    rows = wanted.toLocalIterator()  # a block's queries on the driver at a time
-    while True:
-        row = next(rows, None)
-        if row is not None:
-            block.append(row)
-        if block and (row is None or len(block) == QUERY_BLOCK):
-            part = save(_search(spark, index, codebooks, block, schema, k, shortlist, margin), "ann-found")
-            found = part if found is None else found.unionByName(part)
-            block = []
-        if row is None:
-            break
-    if found is None:
+    if codebooks is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    sizes = index.agg(F.count("*").alias("rows"), F.count_if(F.col("vec_id") % every == 0).alias("queries")).first()
+    index_blocks, query_blocks = int(sizes["rows"] // index_block) + 1, int(sizes["queries"] // query_block) + 1
+    wanted = index.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    block = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = wanted.select(block(query_blocks, 1).alias("qb"), all_of(index_blocks).alias("ib"), "vec_id", "embedding")
+    # A vec_id that repeats is one block's, so its rows count once there.
+    rows = index.select(block(index_blocks, 2).alias("ib"), all_of(query_blocks).alias("qb"), "vec_id", "embedding", "code", "norm", "error")
+    shared = spark.sparkContext.broadcast(codebooks)  # BOOKS x WORDS x dimensions numbers
+    # The shortlist is dealt over the blocks, with room for chance.
+    mean = shortlist / index_blocks
+    part = int(np.ceil(mean + 3 * np.sqrt(mean))) if index_blocks > 1 else shortlist
+
+    def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+        if not asked.num_rows or not rows.num_rows:
+            return schema.empty_table()
+        column = lambda t, c: t.column(c).combine_chunks()
+        whole = lambda c: pa.concat_arrays(c.chunks) if isinstance(c, pa.ChunkedArray) else c
+        codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
+        got = search_block(
+            column(asked, "vec_id").to_numpy(), _matrix(whole(column(asked, "embedding"))), column(rows, "vec_id").to_numpy(), _matrix(whole(column(rows, "embedding"))),
+            codes, column(rows, "norm").to_numpy(), column(rows, "error").to_numpy(), shared.value, k, part, margin,
+        )
+        return pa.table([pa.array(c, f.type) for c, f in zip(got, schema)], schema=schema)
+
+    found = asked.groupBy("ib", "qb").cogroup(rows.groupBy("ib", "qb")).applyInArrow(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
-
-
-def _search(spark, index, codebooks, block, schema, k, shortlist, margin) -> DataFrame:
-    q_ids = np.array([r["vec_id"] for r in block], dtype=np.int64)
-    queries = np.array([list(r["embedding"]) for r in block], dtype=np.float64)
-    shared = spark.sparkContext.broadcast((q_ids, queries, codebooks))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, m, books = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = batch.column(0).to_numpy()
-            codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(ids), -1)
-            got = search_block(q, m, ids, _matrix(batch.column(1)), codes, batch.column(3).to_numpy(), batch.column(4).to_numpy(), books, k, shortlist, margin)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], names=["query_id", "vec_id", "score"])
-
-    return index.mapInArrow(run, schema)
