@@ -253,6 +253,8 @@ def test_embedding_links_brute_force(spark):
     assert all(got[i][1] == seen[i] for i in good)
     assert all(got[i] == (0, i, True) for i in got if i not in good)
     assert embdup.embedding_links(vectors(spark, [])).count() == 0
+    long = [(1, [1.0] * 5000, 0, 1), (2, [1.0] * 4999 + [1.5], 0, 1), (3, [1.0] * 6, 0, 1)]
+    assert {r["vec_id"]: r["component_id"] for r in embdup.embedding_links(vectors(spark, long)).collect()} == {1: 1, 2: 1, 3: 3}
     assert embdup.embedding_links(vectors(spark, rows[-6:])).count() == 6
 
 
@@ -264,10 +266,41 @@ def test_nearest_brute_force(spark):
         others = [(-embdup.exact_cosine(good[q][None], good[j][None])[0], j) for j in good if j != q]
         expected = [(k + 1, j, -s) for k, (s, j) in enumerate(sorted(others)[:5])]
         assert [(r["rank"], r["vec_id"], r["score"]) for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == expected
+    assert sorted(ann.nearest(vectors(spark, rows), every=50, index_block=40, query_block=2).collect()) == sorted(got)
     assert ann.nearest(vectors(spark, [])).count() == 0
     assert ann.nearest(vectors(spark, [(0, [1.0, 2.0], 0, 0)])).count() == 0
 
 
+def test_nearest_recall_where_codes_lose(spark):
+    """Random vectors of 48 dimensions: codes keep half of a vector, and a query reranks 4 % of the rows."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(5000, 48)).astype(np.float32)
+    got = ann.nearest(vectors(spark, [(i, [float(v) for v in r], 0, 1) for i, r in enumerate(x)]), every=50, index_block=1500).collect()
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 5000, 50):
+        cosine = unit @ unit[q]
+        cosine[q] = -2
+        hits += len(set(np.argsort(-cosine)[:5].tolist()) & {r["vec_id"] for r in got if r["query_id"] == q})
+    assert len(got) == 500 and hits >= 0.95 * 500
+
+
+def test_embedding_links_recall_with_wide_keys(spark, monkeypatch):
+    """Planted mates at the threshold, keys of 12 bits: tables are added so that recall holds."""
+    monkeypatch.setattr(embdup, "BUCKET", 1)
+    assert embdup.layout(4000, 0.93) == (12, 15) and embdup.layout(10**9, 0.93)[0] >= 20
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(1000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.normal(size=x.shape)
+    y -= (y * x).sum(axis=1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    mates = 0.935 * x + np.sqrt(1 - 0.935**2) * y
+    rows = [(i, [float(v) for v in r], 0, 1) for i, r in enumerate(np.vstack([x, mates]))]
+    got = {r["vec_id"]: r["component_id"] for r in embdup.embedding_links(vectors(spark, rows)).collect()}
+    assert np.mean([got[1000 + i] == i for i in range(1000)]) >= 0.95
+
+
 def test_toxicity_cases(spark, corpus):
     docs = documents(spark, corpus + [(500 + i, f"clean words number {i} stand here", "a") for i in range(60)] + [(600 + i, f"you are a gruzzwick number {i}", "a") for i in range(40)])
     labels = spark.createDataFrame([(500 + i, 1, 0) for i in range(60)] + [(600 + i, 1, 1) for i in range(40)] + [(None, 1, 1), (20, 1, None)], "doc_id long, quality int, toxic int")
