@@ -2,6 +2,13 @@
 
 Each stage works on all that the stage before kept, written as Parquet in the
 shared folder and read again. All but the last return the columns of documents.
+
+Defined cases, which the operators' modules state in full: rows with null doc_id, text,
+source or lang pass every filter (the text counts as empty, the null source as a source);
+empty texts are clean, have no copies, and are not taken by the mix, which takes words;
+repeated rows are copies, of which one doc_id stays (rows that share it stay together);
+texts of any length are handled whole; further columns are kept up to the last stage;
+empty documents give an empty result, empty labels a toxicity stage that keeps all.
 """
 
 from __future__ import annotations
