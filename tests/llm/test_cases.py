@@ -86,6 +86,22 @@ def test_packing_cases(spark, corpus):
     assert packing.pack_documents(documents(spark, []), context=128).count() == 0
 
 
+def test_packing_brute_force(spark):
+    """Bounds that no others beat in padding, and every span in the smallest bucket that holds it."""
+    from itertools import combinations
+
+    rng = random.Random(8)
+    rows = [(i, " ".join(["w"] * rng.randint(0, 23)), "a") for i in range(150)]
+    out = packing.pack_documents(documents(spark, rows), context=9, buckets=3, budget=40).toPandas()
+    spans = [min(9, n - k) for _, t, _ in rows for n in [len(t.split())] for k in range(0, n, 9)]
+    assert sorted(out["length"]) == sorted(spans)
+    cost = lambda bounds: sum(min(b for b in bounds if b >= n) - n for n in spans)
+    best = min(cost(c) for r in (1, 2, 3) for c in combinations(sorted(set(spans)), r) if max(c) >= max(spans))
+    used = sorted(set(out["bucket"]))
+    assert (out["bucket"] - out["length"]).sum() == best and all(b == min(u for u in used if u >= n) for b, n in zip(out["bucket"], out["length"]))
+    assert all(len(g) * b <= max(40, b) for (b, _), g in out.groupby(["bucket", "batch"]))
+
+
 def test_near_duplicates_cases(spark, corpus):
     out = neardup.near_duplicates(documents(spark, corpus)).collect()
     assert len(out) == len(corpus)
@@ -395,3 +411,24 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert kept[3].groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 3
     assert kept[4].agg(F.sum("length")).first()[0] == sum(len(r["text"].split()) for r in kept[3].collect())
     assert p.run(spark, folder).count() == kept[4].count()
+
+
+def test_pipeline_cases(spark, tmp_path):
+    """Nulls, empty texts, repeats and further columns go through; empty tables give none."""
+    import corpus_pipeline as p
+
+    rows = [(1, "alpha beta gamma " * 4, "en", "a"), (1, "alpha beta gamma " * 4, "en", "a"), (2, None, None, None), (3, "", "en", "b"), (None, "delta words here", "en", None), (4, "x " * 30_000, "en", "b"), (5, "epsilon zeta", None, "c")]
+    docs = spark.createDataFrame([(i, t, l, s, len(t or ""), 1, "r") for i, t, l, s in rows], "doc_id long, text string, lang string, source string, n_chars long, k_id int, row string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for name, table in (("full", docs), ("none", docs.limit(0))):
+        folder = tmp_path / name
+        table.write.parquet(str(folder / "documents.parquet"))
+        labels.write.parquet(str(folder / "labels.parquet"))
+        left = spark.read.parquet(str(folder / "documents.parquet"))
+        for k, (_, stage) in enumerate(p.STAGES[:-1]):
+            left = stage(spark, left, str(folder))
+            assert left.columns == docs.columns
+            left.write.parquet(str(folder / f"out{k}"))
+            left = spark.read.parquet(str(folder / f"out{k}"))
+        ids = {r["doc_id"] for r in left.collect()}
+        assert ids <= ({1, 4, 5, None} if name == "full" else set()) and p.run(spark, str(folder)).count() >= len(ids)
