@@ -5,12 +5,12 @@ import pytest
 from edgeloom.queries import ORACLE_SQL, QUERIES
 from tests.oracle import assert_same
 
-FOLDER = "/root/testdata/sf0.001"
+FOLDER, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_matches_sql(spark, name):
-    assert_same(spark, QUERIES[name], ORACLE_SQL[name], FOLDER)
+    assert_same(spark, QUERIES[name], ORACLE_SQL[name], FOLDER, LARGER)
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
