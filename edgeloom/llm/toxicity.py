@@ -17,8 +17,9 @@ is one split over two words.
 A sentence ends at . ! ? or a line's end. Punctuation inside a word is dropped and
 letters that stand alone in a row are also read as one word, which covers "i.d.i.o.t"
 and "i d i o t". A document scores by its most toxic sentence; a logistic curve maps
-that to 0..1, fitted on the training documents, for which a third of the clean ones
-are kept out of the SVM's training. The trained model folds into one table of
+that to 0..1, fitted on the training documents. The model is the mean of ``MEMBERS`` SVMs,
+each of which leaves a different part of the clean documents out of its training, so that
+the curve sees clean documents' scores as new ones get them. It folds into one table of
 subsequence weights (64^3 numbers), so scoring never touches landmarks.
 
 How it scales: training takes whole documents, in the order of their ids' hashes, at
@@ -58,6 +59,7 @@ NEGATIVES = 4000  # words of clean sentences drawn for the first round; half as
 ROUNDS = 4
 BENT = 4  # times a positive sentence is trained with a letter inserted
 COST = 100.0
+MEMBERS = 3  # SVMs whose mean is the model
 REJECTED = 0.1  # of the clean documents kept aside, at most
 CHANCE = 0.05  # that any word at all is taken for one far apart
 CACHE = 400_000
@@ -412,24 +414,48 @@ def contrast(sample: Sample, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(documents: list[tuple[int, int, str]], seed: int = 11) -> Model | None:
-    """Model from (document, label, text); None without a document of each label."""
+    """Model from (document, label, text): the mean of ``MEMBERS`` SVMs; None without a document of each label.
+
+    Each SVM leaves another part of the clean documents aside; the curve is fitted on the
+    scores that these get from the SVM that has not seen them, and on the mean's of the toxic ones.
+    """
     rng = np.random.default_rng(seed)
     sample = Sample(documents)
     if len(np.unique(sample.label)) < 2 or not len(sample):
         return None
-    # Clean documents kept for the curve; their sentences train nothing, unless others have them.
     clean_docs = rng.permutation(np.flatnonzero(sample.label == 0))
-    aside = np.zeros(len(sample.label), dtype=bool)
-    aside[clean_docs[: len(clean_docs) // 3]] = True
+    part = np.full(len(sample.label), -1)
+    part[clean_docs] = np.arange(len(clean_docs)) % MEMBERS
+    found, value = [], np.full(len(sample.label), np.nan)
+    for own in range(MEMBERS):
+        member = _member(sample, part == own, rng)
+        if member is not None:
+            found.append(member)
+            value[part == own] = _documents(sample, member)[part == own]
+    if not found:  # a single clean document cannot stay aside
+        found = [m for m in [_member(sample, np.zeros(len(part), dtype=bool), rng)] if m is not None]
+        if not found:
+            return None
+    mean = Model(Table(np.mean([m.table.rows for m in found], axis=0)), float(np.mean([m.bias for m in found])), 1.0, 0.0)
+    seen = _documents(sample, mean)
+    value[part < 0] = seen[part < 0]
+    return _calibrate(mean, seen if np.isnan(value[part >= 0]).all() else value, sample.label, ~np.isnan(value) | np.isnan(value[part >= 0]).all())
+
+
+def _documents(sample: Sample, model: Model) -> np.ndarray:
+    """Each document's largest sentence score."""
+    return sample.largest(sample.most(model.words(sample.spelled))[0], model.bias)
+
+
+def _member(sample: Sample, aside: np.ndarray, rng: np.random.Generator) -> Model | None:
+    """SVM over the sentences of the documents that are not ``aside``; None where those hold no two classes."""
     used = np.zeros(len(sample), dtype=bool)
     used[sample.sentence[~aside[sample.doc]]] = True
     apart, in_clean = contrast(sample, used)
-
-    space = _Space(sample.spelled, _landmarks(sample, apart, in_clean, rng))
-    positive_at = np.flatnonzero(~sample.clean[sample.sentence] & used[sample.sentence])
-    negative_all = np.flatnonzero(sample.clean & used)
-    if not len(positive_at) or not len(negative_all):
+    positive_at = np.flatnonzero(~sample.clean[sample.sentence] & ~aside[sample.doc])
+    if not len(positive_at) or not (sample.clean & used).any():
         return None
+    space = _Space(sample.spelled, _landmarks(sample, apart, in_clean, rng))
     score, witness = sample.most(apart)
     marked = positive_at[score[sample.sentence[positive_at]] >= np.sqrt(2 * np.log(len(sample.spelled) / CHANCE))]
     clean_words = np.flatnonzero(in_clean > 0)
@@ -448,7 +474,7 @@ def train(documents: list[tuple[int, int, str]], seed: int = 11) -> Model | None
         value = model.words(sample.spelled)
         score, witness = sample.most(value)
         negative = np.union1d(negative, clean_words[np.argsort(-value[clean_words])[: NEGATIVES // 2]])
-    return _calibrate(model, sample.largest(score, model.bias), sample.label, (sample.label == 1) | aside if aside.any() else np.ones(len(aside), bool))
+    return model
 
 
 class _Space:
