@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from edgeloom.functions import scalar
 from edgeloom.operators import demux, edges, graph, matrix, pixels, reads, recovery, sampling, spatial
+from edgeloom.plans import commands
 from edgeloom.plans.dataset import Dataset
 from edgeloom.plans.proxy import edgelist, pixel_edgelist, raw_edgelist, table
 from edgeloom.queries import CELL, COMMUNITY, COMBINED, COUNTS_SQL, CROSSED, GRID_SQL, LINKS_SQL, NODES_SQL, PAIRED, REGION_SQL, WITH_EDGES, WITH_PIXELS, WITH_RAW, _communities, _dna, _regions, combine_collapse, counts_of, dna_sql, query, r6, rounded
@@ -406,3 +407,14 @@ def layouts_aggregated(spark, sf_dir):
 def json_report(spark, sf_dir):
     e = raw_edgelist(spark, sf_dir)
     return recovery.as_json(e.agg(F.count("*").alias("n_edges"), F.sum("read_count").alias("n_reads"), F.sum("uei_count").alias("n_molecules")))
+
+
+READS_SQL = f"""WITH r0 AS (SELECT o_orderkey AS name, substr(replace({dna_sql('o_custkey', 24)}, 'AA', 'NN'), 3, 21) AS sequence, substr(md5(o_orderkey::VARCHAR), 3, 21) AS quality FROM orders),
+  r AS (SELECT *, list_avg([ascii(c) - 33 FOR c IN string_split(quality, '')]) AS mean, length(sequence) - length(replace(sequence, 'N', '')) AS n FROM r0)"""
+
+
+@query(READS_SQL + " SELECT sequence, min(name) AS name, arg_min(quality, name) AS quality FROM r WHERE n <= 2 AND mean >= 38 GROUP BY sequence")
+def read_quality(spark, sf_dir):
+    """Reads trimmed by two bases in front and one behind, filtered by N and mean quality, one of each sequence."""
+    r = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("name"), F.replace(_dna("o_custkey", 24), F.lit("AA"), F.lit("NN")).alias("sequence"), F.substring(F.md5(F.col("o_orderkey").cast("string").cast("binary")), 1, 24).alias("quality"))
+    return commands.mpx_preqc(r, trim_front=2, trim_tail=1, max_n=2, average_quality=38, dedup=True)

@@ -139,13 +139,13 @@ def regression(edges: DataFrame, parts: int = 5, cutoff: float = -3.0) -> DataFr
     return _grouped(edges, run)
 
 
-def denoise(edges: DataFrame, methods: tuple[str, ...] = ("one_core",)) -> tuple[DataFrame, DataFrame]:
-    """(cleaned edges, removed nodes with their methods): the union of the methods, then the nodes
-    stranded without them."""
+def denoise(edges: DataFrame, methods: tuple[str, ...] = ("one_core",), parameters: dict[str, dict] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(cleaned edges, removed nodes with their methods): the union of the methods (with
+    the parameters given for each), then the nodes stranded without them."""
     known = {"one_core": one_core, "core_expansion": core_expansion, "regression": regression}
     marked = None
     for m in methods:
-        one = known[m](edges).withColumn("method", F.lit(m))
+        one = known[m](edges, **(parameters or {}).get(m, {})).withColumn("method", F.lit(m))
         marked = one if marked is None else marked.unionByName(one)
     left = remove_nodes(edges, marked.select("umi").distinct())
     marked = marked.unionByName(stranded_nodes(left).withColumn("method", F.lit("stranded")))

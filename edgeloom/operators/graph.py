@@ -74,7 +74,7 @@ def stranded_nodes(edges: DataFrame) -> DataFrame:
 def core_numbers(edges: DataFrame) -> DataFrame:
     """(keys, umi, core): largest k for which the node survives peeling. One component a group."""
     keys = keys_of(edges)
-    schema = f"{', '.join(f'{k} string' for k in keys)}, umi long, core int"
+    schema = f"{', '.join(f'{k} string' for k in keys)}, umi {edges.schema['umi1'].dataType.simpleString()}, core int"
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         ids, i, j = local_edges(pdf)
@@ -158,7 +158,8 @@ def modularity_communities(edges: DataFrame, resolution: float = 1.0, seed: int
     Communities are named by their smallest node. One component a group.
     """
     keys = keys_of(edges)
-    schema = f"{', '.join(f'{k} string' for k in keys)}, umi long, community long"
+    kind = edges.schema["umi1"].dataType.simpleString()
+    schema = f"{', '.join(f'{k} string' for k in keys)}, umi {kind}, community {kind}"
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         ids, i, j = local_edges(pdf)
@@ -308,6 +309,7 @@ def hybrid_communities(edges: DataFrame, rounds: int = 2, resolution: float = 1.
 
     Only that smaller graph is grouped, one connected part of it a group.
     """
+    kind = edges.schema["umi1"].dataType.simpleString()
     labels = cut_lineage(label_propagation(edges, rounds))
     joined = crossing_edges(edges.select("umi1", "umi2").distinct(), labels)
     counted = cut_lineage(joined.groupBy(F.least("c1", "c2").alias("umi1"), F.greatest("c1", "c2").alias("umi2")).agg(F.count("*").alias("w")))
@@ -324,7 +326,7 @@ def hybrid_communities(edges: DataFrame, rounds: int = 2, resolution: float = 1.
         np.minimum.at(name, found, np.arange(len(ids)))
         return pd.DataFrame({"community": ids, "wide": ids[name[found]]})
 
-    wide = placed.select("component", "umi1", "umi2", "w").groupBy("component").applyInPandas(run, "community long, wide long")
+    wide = placed.select("component", "umi1", "umi2", "w").groupBy("component").applyInPandas(run, f"community {kind}, wide {kind}")
     return labels.join(wide, "community").select("umi", F.col("wide").alias("community"))
 
 
@@ -347,29 +349,31 @@ def find_components(
     depth: int = 1,
     refine_resolution: float = 0.01,
     prune: int = 0,
+    refine_merge_least: int | None = None,
 ) -> DataFrame:
     """Edge list to named components.
 
     Clashes go and reads are filtered; labels are propagated and their communities joined by
     modularity (``hybrid_communities``); crossing edges are cut; parts below ``prune`` nodes go;
     ``depth`` - 1 rounds look for communities inside each part, which is the largest thing
-    one task sees; communities with ``merge_least`` crossing edges stay joined; sizes are
-    filtered; components are named by their nodes. ``rounds`` = 0 skips all communities.
+    one task sees; communities with ``merge_least`` crossing edges stay joined (inside a part
+    ``refine_merge_least``, where given); sizes are filtered; components are named by their nodes. ``rounds`` = 0 skips all communities.
     """
     from edgeloom.operators.edges import clashing, filter_by_size, remove_nodes
     from edgeloom.operators.edges import min_reads as at_least
 
     clean = cut_lineage(at_least(remove_nodes(edges, clashing(edges)), min_reads)).drop("component", "sample")
-    join_up = lambda df, found: found if merge_least is None else merge_communities(df, found, merge_least)
+    join_up = lambda df, found, most: found if most is None else merge_communities(df, found, most)
+    inside = merge_least if refine_merge_least is None else refine_merge_least
     if rounds:
-        parted = _within(clean, join_up(clean, hybrid_communities(clean, rounds, resolution)))
+        parted = _within(clean, join_up(clean, hybrid_communities(clean, rounds, resolution), merge_least))
     else:
         parted = _within(clean, endpoints(clean).withColumn("community", F.lit(0)))
     if prune:
         parted = filter_by_size(parted, prune, None)
     for _ in range(depth - 1):
         found = cut_lineage(modularity_communities(parted, refine_resolution).select("umi", "community"))
-        parted = _within(parted, join_up(parted, found))
+        parted = _within(parted, join_up(parted, found, inside))
     sized = filter_by_size(parted, least, most)
     names = component_names(endpoints(sized, "component"))
     return sized.join(names, "component").drop("component").withColumnRenamed("name", "component")
@@ -379,7 +383,7 @@ def pivot_layout(edges: DataFrame, pivots: int = 50, dimensions: int = 3, seed:
     """(keys, umi, x, y, z): pivot MDS - hop distances to pivots, squared, double-centred, then
     the leading right singular directions. One component a group."""
     keys = keys_of(edges)
-    schema = f"{', '.join(f'{k} string' for k in keys)}, umi long, x double, y double, z double"
+    schema = f"{', '.join(f'{k} string' for k in keys)}, umi {edges.schema['umi1'].dataType.simpleString()}, x double, y double, z double"
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         ids, i, j = local_edges(pdf)
