@@ -6,12 +6,15 @@ per-component algebra runs in Arrow groups, whose size is one component.
 
 from __future__ import annotations
 
+import tempfile
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgeloom.operators.edges import crossing_edges, endpoints, keys_of, nodes
+from edgeloom.operators.groups import Component, distinct_pairs, per_component
 from edgeloom.operators.spatial import links
 from edgeloom.operators.stored import cut_lineage, shared_folder  # noqa: F401  catalog takes the folder from here
 
@@ -53,18 +56,13 @@ def stranded_nodes(edges: DataFrame) -> DataFrame:
 
 def core_numbers(edges: DataFrame) -> DataFrame:
     """(keys, umi, core): largest k for which the node survives peeling. One component a group."""
-    keys = keys_of(edges)
-    schema = f"{', '.join(f'{k} string' for k in keys)}, umi {edges.schema['umi1'].dataType.simpleString()}, core int"
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, i, j = local_edges(pdf)
-        core = peel(len(ids), i, j)
-        out = pd.DataFrame({"umi": ids, "core": core.astype(np.int32)})
-        for k, v in reversed(list(zip(keys, key))):
-            out.insert(0, k, v)
-        return out
+    def run(c: Component) -> dict:
+        n, ids, pairs = len(c), c.ids, c.edges()
+        c.at1 = c.at2 = None
+        return {"umi": ids, "core": peel(n, *pairs)}
 
-    return edges.select(*keys, "umi1", "umi2").groupBy(*keys).applyInPandas(run, schema)
+    return per_component(edges, run, {"umi": edges.schema["umi1"].dataType.simpleString(), "core": "int"})
 
 
 def local_edges(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,16 +77,19 @@ def local_edges(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def peel(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Core number of each node: in rounds, drop all nodes of degree below k."""
-    core = np.zeros(n, np.int64)
+    core = np.zeros(n, np.int32)
     k = 1
     while len(i):
-        degree = np.bincount(i, minlength=n) + np.bincount(j, minlength=n)
+        degree = np.bincount(i, minlength=n).astype(np.int32)
+        degree += np.bincount(j, minlength=n).astype(np.int32)
         low = degree < k
+        del degree
         edge = low[i] | low[j]
         if edge.any():
             i, j = i[~edge], j[~edge]
             continue
-        core[np.concatenate([i, j])] = k
+        core[i] = k
+        core[j] = k
         k += 1
     return core
 
@@ -359,65 +360,140 @@ def find_components(
     return sized.join(names, "component").drop("component").withColumnRenamed("name", "component")
 
 
-def pivot_layout(edges: DataFrame, pivots: int = 50, dimensions: int = 3, seed: int = 11) -> DataFrame:
+def pivot_layout(edges: DataFrame, pivots: int = 50, dimensions: int = 3, seed: int = 11, scaled: bool = False) -> DataFrame:
     """(keys, umi, x, y, z): pivot MDS - hop distances to pivots, squared, double-centred, then
-    the leading right singular directions. One component a group."""
-    keys = keys_of(edges)
-    schema = f"{', '.join(f'{k} string' for k in keys)}, umi {edges.schema['umi1'].dataType.simpleString()}, x double, y double, z double"
+    the leading right singular directions; ``scaled``: centred per component and divided by the
+    median radius (unless that is 0). One component a group; of its distances a task holds one pivot's, then a block of nodes."""
+
+    def run(c: Component) -> dict:
+        n, ids, pairs = len(c), c.ids, c.edges()
+        c.at1 = c.at2 = None
+        xyz = pivot_coordinates(n, *pairs, min(pivots, n), dimensions, seed)
+        if scaled:
+            xyz -= xyz.mean(axis=0)
+            middle = np.median(np.sqrt((xyz**2).sum(axis=1)))
+            if middle > 0:
+                xyz /= middle
+        return {"umi": ids, "x": xyz[:, 0], "y": xyz[:, 1], "z": xyz[:, 2]}
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, i, j = local_edges(pdf)
-        xyz = pivot_coordinates(len(ids), i, j, min(pivots, len(ids)), dimensions, seed)
-        out = pd.DataFrame({"umi": ids, "x": xyz[:, 0], "y": xyz[:, 1], "z": xyz[:, 2]})
-        for k, v in reversed(list(zip(keys, key))):
-            out.insert(0, k, v)
+    kind = edges.schema["umi1"].dataType.simpleString()
+    return per_component(edges, run, {"umi": kind, "x": "double", "y": "double", "z": "double"})
+
+
+class Neighbours:
+    """Neighbours of each node, from distinct edges sorted by their first end."""
+
+    def __init__(self, n: int, i: np.ndarray, j: np.ndarray):
+        back = np.argsort(j, kind="stable")
+        self.n = n
+        self.sides = [(self._starts(n, i), j), (self._starts(n, j), i[back])]
+
+    @staticmethod
+    def _starts(n: int, ends: np.ndarray) -> np.ndarray:
+        starts = np.zeros(n + 1, np.int64)
+        np.cumsum(np.bincount(ends, minlength=n), out=starts[1:])
+        return starts
+
+    def of(self, nodes: np.ndarray) -> np.ndarray:
+        """Neighbours of all the nodes, with repeats."""
+        found = []
+        for starts, other in self.sides:
+            first, size = starts[nodes], starts[nodes + 1] - starts[nodes]
+            end = np.cumsum(size)
+            if len(end) and end[-1]:
+                found.append(other[np.repeat(first - (end - size), size) + np.arange(end[-1])])
+        return np.concatenate(found) if found else np.zeros(0, np.int32)
+
+    def hops(self, source: int) -> np.ndarray:
+        """Hops from the source, -1 where unreachable: only what is reached is looked at."""
+        out = np.full(self.n, -1, np.int32)
+        out[source] = 0
+        edge, step = np.array([source]), 0
+        while len(edge):
+            step += 1
+            near = self.of(edge)
+            edge = np.unique(near[out[near] < 0])
+            out[edge] = step
         return out
 
-    return edges.select(*keys, "umi1", "umi2").groupBy(*keys).applyInPandas(run, schema)
+
+def _sorted_edges(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return distinct_pairs(n, np.minimum(i, j), np.maximum(i, j))
 
 
 def hop_distances(n: int, i: np.ndarray, j: np.ndarray, sources: np.ndarray) -> np.ndarray:
-    """(sources, n) hops, the largest found + 1 where unreachable: frontiers over edge arrays."""
-    a, b = np.concatenate([i, j]), np.concatenate([j, i])
-    out = np.full((len(sources), n), -1)
-    for row, s in enumerate(sources):
-        out[row, s] = 0
-        reached, step = np.zeros(n, bool), 0
-        reached[s] = True
-        edge = reached.copy()
-        while edge.any():
-            step += 1
-            new = np.zeros(n, bool)
-            new[b[edge[a]]] = True
-            edge = new & ~reached
-            out[row, edge] = step
-            reached |= edge
+    """(sources, n) hops, the largest found + 1 where unreachable."""
+    near = Neighbours(n, *_sorted_edges(n, i, j))
+    out = np.stack([near.hops(s) for s in sources]).astype(np.int64)
     out[out < 0] = out.max() + 1
     return out
 
 
+class SquaredHops:
+    """Squared, double-centred hop distances of every node to the pivots, block by block of nodes.
+
+    A search gives one pivot's distances to all nodes; they wait in a file of the task (in memory
+    below 32 MB), from which a block reads its nodes' distances to all pivots.
+    """
+
+    ROWS = 65_536
+
+    def __init__(self, n: int, i: np.ndarray, j: np.ndarray, sources: np.ndarray):
+        self.n, self.file, self.places, most, sums = n, tempfile.SpooledTemporaryFile(32 << 20), [], 0, []
+        near = Neighbours(n, *_sorted_edges(n, i, j))
+        for s in sources:
+            hops = near.hops(s)
+            reached = hops[hops >= 0].astype(np.int64)
+            sums.append((int((reached**2).sum()), n - len(reached)))
+            most = max(most, int(hops.max()))
+            kind = np.int8 if hops.max() < 127 else np.int16 if hops.max() < 32_767 else np.int32
+            self.places.append((self.file.tell(), np.dtype(kind)))
+            self.file.write(hops.astype(kind).data)
+        self.far = most + 1
+        column = [own + lost * self.far**2 for own, lost in sums]
+        self.column_mean = np.array(column) / n
+        self.mean = sum(column) / (n * len(sources))
+
+    def blocks(self):
+        for lo in range(0, self.n, self.ROWS):
+            rows = min(self.ROWS, self.n - lo)
+            square = np.empty((rows, len(self.places)))
+            for at, (start, kind) in enumerate(self.places):
+                self.file.seek(start + lo * kind.itemsize)
+                square[:, at] = np.frombuffer(self.file.read(rows * kind.itemsize), kind)
+            square[square < 0] = self.far
+            square **= 2
+            yield slice(lo, lo + rows), -0.5 * (square - self.column_mean - square.mean(axis=1, keepdims=True) + self.mean)
+
+    def svd(self) -> tuple[np.ndarray, np.ndarray]:
+        """Singular values and right singular directions, by the triangular factor of the blocks so far."""
+        factor = None
+        for _, block in self.blocks():
+            factor = block if factor is None else np.linalg.qr(np.concatenate([factor, block]), mode="r")
+        _, values, right = np.linalg.svd(factor, full_matrices=False)
+        return values, right
+
+
 def pivot_coordinates(n: int, i: np.ndarray, j: np.ndarray, pivots: int, dimensions: int, seed: int) -> np.ndarray:
     chosen = np.random.default_rng(seed).permutation(n)[:pivots]
-    square = hop_distances(n, i, j, np.sort(chosen)).T.astype(float) ** 2
-    centred = -0.5 * (square - square.mean(axis=0) - square.mean(axis=1, keepdims=True) + square.mean())
-    _, _, right = np.linalg.svd(centred, full_matrices=False)
-    xyz = centred @ right[:dimensions].T
-    return np.pad(xyz, ((0, 0), (0, 3 - xyz.shape[1])))
+    hops = SquaredHops(n, i, j, np.sort(chosen))
+    turn = hops.svd()[1][:dimensions].T
+    xyz = np.zeros((n, max(3, turn.shape[1])))
+    for rows, block in hops.blocks():
+        xyz[rows, : turn.shape[1]] = block @ turn
+    return xyz
 
 
 def distance_variance(edges: DataFrame, pivots: int = 50, seed: int = 11) -> DataFrame:
     """(keys, explained): share of the centred pivot distances' variance in three directions."""
-    keys = keys_of(edges)
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, i, j = local_edges(pdf)
-        chosen = np.random.default_rng(seed).permutation(len(ids))[: min(pivots, len(ids))]
-        square = hop_distances(len(ids), i, j, np.sort(chosen)).T.astype(float) ** 2
-        centred = -0.5 * (square - square.mean(axis=0) - square.mean(axis=1, keepdims=True) + square.mean())
-        values = np.linalg.svd(centred, compute_uv=False) ** 2
-        return pd.DataFrame([[*key, float(values[:3].sum() / values.sum()) if values.sum() else 0.0]], columns=[*keys, "explained"])
+    def run(c: Component) -> dict:
+        n = len(c)
+        chosen = np.random.default_rng(seed).permutation(n)[: min(pivots, n)]
+        values = SquaredHops(n, *c.edges(), np.sort(chosen)).svd()[0] ** 2
+        return {"explained": np.array([values[:3].sum() / values.sum() if values.sum() else 0.0])}
 
-    return edges.select(*keys, "umi1", "umi2").groupBy(*keys).applyInPandas(run, f"{', '.join(f'{k} string' for k in keys)}, explained double")
+    return per_component(edges, run, {"explained": "double"})
 
 
 def normalise_layout(layout: DataFrame) -> DataFrame:

@@ -671,7 +671,7 @@ def leiden_communities(spark, sf_dir):
 
 @query()
 def pmds_layout(spark, sf_dir):
-    return rounded(graph.normalise_layout(graph.pivot_layout(edgelist(spark, sf_dir), pivots=50)), 3)
+    return rounded(graph.pivot_layout(edgelist(spark, sf_dir), pivots=50, scaled=True), 3)
 
 
 @query()

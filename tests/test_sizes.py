@@ -12,3 +12,45 @@ def test_stored_table_of_many_rows_is_not_broadcast(spark):
     large = spark.range(1 << 24)
     assert "BroadcastHashJoin" not in _plan(cut_lineage(spark.range(BROADCAST_ROWS + 1)).join(large, "id"))
     assert "BroadcastHashJoin" in _plan(cut_lineage(spark.range(100)).join(large, "id"))
+
+
+def test_component_reads_edges_compactly():
+    """A component of half a million edges takes few bytes an edge in a task, whatever its names are."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from edgeloom.operators.groups import Component
+    from edgeloom.operators.graph import peel
+
+    rows = 500_000
+
+    def batches():
+        for lo in range(0, rows, 10_000):
+            at = np.arange(lo, lo + 10_000)
+            marks = lambda k: pa.array([f"a marker of a long name {v % k}" for v in at])
+            yield pa.RecordBatch.from_pydict({"sample": pa.array(["a sample"] * 10_000), "umi1": at // 4 * 2, "umi2": at * 2 + 1, "marker_1": marks(8), "marker_2": marks(5)})
+
+    tracemalloc.start()
+    c = Component(("a sample",), batches(), True)
+    core = peel(len(c), *c.edges())
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(c) == rows // 4 + rows and (core == 1).all()
+    assert most < 80 * rows
+
+
+def test_layout_by_blocks_is_the_layout_at_once(monkeypatch):
+    import numpy as np
+
+    from edgeloom.operators import graph
+
+    rng = np.random.default_rng(3)
+    i, j = rng.integers(0, 300, 700), rng.integers(0, 400, 700)
+    n = 420  # some nodes are out of reach
+    once = graph.pivot_coordinates(n, i, j, 30, 3, 1)
+    monkeypatch.setattr(graph.SquaredHops, "ROWS", 64)
+    parts = graph.pivot_coordinates(n, i, j, 30, 3, 1)
+    assert np.allclose(np.abs(once), np.abs(parts))  # a direction's sign is open
+
