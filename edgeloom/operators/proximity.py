@@ -74,27 +74,30 @@ def permuted(edges: DataFrame, permutations: int = 100, min_count: int = 0, seed
 
     A component's edges go to one Arrow group: memory is that of one component.
     """
+    import zlib
+
     import numpy as np
-    import pandas as pd
 
-    keys = keys_of(edges)
-    names = ["marker_1", "marker_2", "join_count", "join_count_expected_mean", "join_count_expected_sd", "join_count_z"]
-    kinds = ", ".join(f"{k} string" for k in keys)
-    schema = f"{kinds}, marker_1 string, marker_2 string, join_count long, join_count_expected_mean double, join_count_expected_sd double, join_count_z double"
+    from edgeloom.operators.groups import Component, per_component
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        import zlib
+    names = ["marker_1", "marker_2", "join_count", "join_count_expected_mean", "join_count_expected_sd", "join_count_z"]
 
-        rng = np.random.default_rng([seed, zlib.crc32("/".join(map(str, key)).encode())])
-        markers, code = np.unique(np.concatenate([pdf["marker_1"], pdf["marker_2"]]), return_inverse=True)
-        n, m = len(pdf), len(markers)
-        a, at_a = np.unique(pdf["umi1"].to_numpy(), return_inverse=True)
-        b, at_b = np.unique(pdf["umi2"].to_numpy(), return_inverse=True)
-        of_a, of_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
-        of_a[at_a], of_b[at_b] = code[:n], code[n:]
+    def run(c: Component) -> dict:
+        rng = np.random.default_rng([seed, zlib.crc32("/".join(map(str, c.key)).encode())])
+        m = len(c.names)
+        # Ranks within each side: a node on both sides has a marker on each.
+        sides = [np.zeros(len(c), bool) for _ in range(2)]
+        for on, at in zip(sides, (c.at1, c.at2)):
+            on[at] = True
+        at_a, at_b = (np.cumsum(on, dtype=np.int32)[at] - 1 for on, at in zip(sides, (c.at1, c.at2)))
+        of_a, of_b = (c.side[k][on] for k, on in enumerate(sides))
+        c.at1 = c.at2 = c.side = None
 
         def table(x, y):
-            flat = np.bincount(x[at_a] * m + y[at_b], minlength=m * m).reshape(m, m)
+            flat = np.zeros(m * m, np.int64)
+            for lo in range(0, len(at_a), 1 << 20):
+                flat += np.bincount(x[at_a[lo : lo + (1 << 20)]].astype(np.int64) * m + y[at_b[lo : lo + (1 << 20)]], minlength=m * m)
+            flat = flat.reshape(m, m)
             return flat + flat.T - np.diag(np.diag(flat))
 
         seen = table(of_a, of_b)
@@ -109,12 +112,10 @@ def permuted(edges: DataFrame, permutations: int = 100, min_count: int = 0, seed
         i, j = np.triu_indices(m)
         keep = often[i] & often[j]
         i, j = i[keep], j[keep]
-        out = pd.DataFrame(dict(zip(names, [markers[i], markers[j], seen[i, j], mean[i, j], sd[i, j], (seen[i, j] - mean[i, j]) / sd[i, j]])))
-        for k, v in reversed(list(zip(keys, key))):
-            out.insert(0, k, v)
-        return out
+        return dict(zip(names, [c.names[i].astype(str), c.names[j].astype(str), seen[i, j], mean[i, j], sd[i, j], (seen[i, j] - mean[i, j]) / sd[i, j]]))
 
-    result = edges.select(*keys, "umi1", "umi2", "marker_1", "marker_2").groupBy(*keys).applyInPandas(run, schema)
+    kinds = ["string", "string", "long", "double", "double", "double"]
+    result = per_component(edges, run, dict(zip(names, kinds)), marked=True)
     return result.withColumn("join_count_p", normal_two_sided(F.col("join_count_z")))
 
 
