@@ -3,30 +3,23 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.operators.edges import keys_of, remove_nodes
-from edgeloom.operators.graph import local_edges, peel, stranded_nodes
+from edgeloom.operators.graph import peel, stranded_nodes
+from edgeloom.operators.groups import Component, per_component
 
 
 def _grouped(edges: DataFrame, run) -> DataFrame:
-    """run(ids, i, j, marker code, marker names, key) gives the identifiers to remove."""
-    keys = keys_of(edges)
-
-    def per(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, i, j = local_edges(pdf)
-        names, code = np.unique(np.concatenate([pdf["marker_1"], pdf["marker_2"]]), return_inverse=True)
-        of = np.zeros(len(ids), np.int64)
-        of[np.searchsorted(ids, np.concatenate([pdf["umi1"], pdf["umi2"]]))] = code
-        out = pd.DataFrame({"umi": run(ids, i, j, of, names)})
-        for k, v in reversed(list(zip(keys, key))):
-            out.insert(0, k, v)
-        return out
-
-    schema = f"{', '.join(f'{k} string' for k in keys)}, umi long"
-    return edges.select(*keys, "umi1", "umi2", "marker_1", "marker_2").groupBy(*keys).applyInPandas(per, schema)
+    """run(ids, i, j, marker code, marker names) gives the identifiers to remove."""
+
+    def per(c: Component) -> dict:
+        i, j = c.edges()
+        c.at1 = c.at2 = None
+        return {"umi": run(c.ids, i, j, c.of, c.names)}
+
+    return per_component(edges, per, {"umi": "long"}, marked=True)
 
 
 def hypergeometric_upper(k: int, marked: int, drawn: int, total: int) -> float:
