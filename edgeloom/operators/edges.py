@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from edgeloom.operators.stored import dealt
+
 CELL = ["sample", "component"]
 
 
@@ -16,7 +18,7 @@ def keys_of(edges: DataFrame) -> list[str]:
 def endpoints(edges: DataFrame, *extra: str) -> DataFrame:
     """Distinct (umi, *extra) over both sides."""
     sides = [edges.select(*extra, F.col(c).alias("umi")) for c in ("umi1", "umi2")]
-    return sides[0].unionByName(sides[1]).distinct()
+    return dealt(sides[0].unionByName(sides[1]), "umi", like=edges).distinct()
 
 
 def nodes(edges: DataFrame) -> DataFrame:
@@ -58,10 +60,25 @@ def min_reads(edges: DataFrame, least: int) -> DataFrame:
     return edges.where(F.col("read_count") >= least)
 
 
+def side_totals(edges: DataFrame) -> DataFrame:
+    """n_umi1, n_umi2 (distinct molecules), n_edges and, of edges with read counts, n_reads per component.
+
+    Molecules meet by themselves before they are counted: no task holds a map of its share of the input.
+    """
+    keys, reads = keys_of(edges), "read_count" in edges.columns
+    side = lambda s: F.struct(F.lit(s).alias("side"), F.col(f"umi{s}").alias("umi"))
+    rows = edges.select(*keys, *(["read_count"] if reads else []), F.inline(F.array(side(1), side(2))))
+    per = dealt(rows, "umi", like=edges).groupBy(*keys, "side", "umi").agg(F.count("*").alias("e"), *([F.sum("read_count").alias("r")] if reads else []))
+    of = lambda s, c: F.when(F.col("side") == s, F.col(c))
+    return per.groupBy(*keys).agg(
+        *[F.count(of(s, "umi")).alias(f"n_umi{s}") for s in (1, 2)], F.sum(of(1, "e")).alias("n_edges"), *([F.sum(of(1, "r")).alias("n_reads")] if reads else [])
+    )
+
+
 def component_sizes(edges: DataFrame) -> DataFrame:
     """n_umi per component: distinct A molecules plus distinct B molecules."""
     keys = keys_of(edges)
-    return edges.groupBy(*keys).agg((F.countDistinct("umi1") + F.countDistinct("umi2")).alias("n_umi"), F.count("*").alias("n_edges"))
+    return side_totals(edges).select(*keys, (F.col("n_umi1") + F.col("n_umi2")).alias("n_umi"), "n_edges")
 
 
 def size_histogram(edges: DataFrame) -> DataFrame:
@@ -119,19 +136,27 @@ def dense_ids(edges: DataFrame) -> DataFrame:
     return placed.join(heads, "part").select("umi", (F.col("head") + F.col("at") - 1).alias("node"))
 
 
+def _both_ends(edges: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
+    """Edges joined to first(umi1, ...) and second(umi2, ...)."""
+    joined = edges.select("umi1", "umi2")
+    for column, other in (("umi1", first), ("umi2", second)):
+        joined = dealt(joined, column, like=edges).join(dealt(other, column, like=edges), column)
+    return joined
+
+
 def working_edgelist(edges: DataFrame) -> DataFrame:
     """Edges with dense ids in place of identifiers: (node1, node2)."""
     ids = dense_ids(edges)
     first = ids.select(F.col("umi").alias("umi1"), F.col("node").alias("node1"))
     second = ids.select(F.col("umi").alias("umi2"), F.col("node").alias("node2"))
-    return edges.select("umi1", "umi2").join(first, "umi1").join(second, "umi2").select("node1", "node2")
+    return _both_ends(edges, first, second).select("node1", "node2")
 
 
 def crossing_edges(edges: DataFrame, communities: DataFrame) -> DataFrame:
     """Edges with the communities of their ends: (umi1, umi2, c1, c2, crossing)."""
     first = communities.select(F.col("umi").alias("umi1"), F.col("community").alias("c1"))
     second = communities.select(F.col("umi").alias("umi2"), F.col("community").alias("c2"))
-    joined = edges.select("umi1", "umi2").join(first, "umi1").join(second, "umi2")
+    joined = _both_ends(edges, first, second).select("umi1", "umi2", "c1", "c2")
     return joined.withColumn("crossing", F.col("c1") != F.col("c2"))
 
 

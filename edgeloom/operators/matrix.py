@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgeloom.operators.edges import keys_of
+from edgeloom.operators.edges import keys_of, side_totals
+from edgeloom.operators.stored import dealt
 
 TAU_HARD, TAU_UPPER_IQR, TAU_LOWER_IQR = 0.995, 2.0, 5.0  # fixed values
 
@@ -19,7 +20,7 @@ def count_matrix(edges: DataFrame, panel: list[str] | None = None) -> DataFrame:
     """(component keys, marker, count): distinct molecules of a marker on both sides."""
     keys = keys_of(edges)
     sides = [
-        edges.groupBy(*keys, F.col(f"marker_{s}").alias("marker")).agg(F.countDistinct(f"umi{s}").alias("count")) for s in (1, 2)
+        dealt(edges.select(*keys, F.col(f"marker_{s}").alias("marker"), F.col(f"umi{s}").alias("umi")), "umi", like=edges).distinct().groupBy(*keys, "marker").agg(F.count("umi").alias("count")) for s in (1, 2)
     ]
     both = sides[0].unionByName(sides[1]).groupBy(*keys, "marker").agg(F.sum("count").alias("count"))
     return both.where(F.col("marker").isin(panel)) if panel else both
@@ -39,9 +40,7 @@ def wide(counts: DataFrame, markers: list[str]) -> DataFrame:
 def component_metrics(edges: DataFrame, isotypes: list[str]) -> DataFrame:
     """n_umi1, n_umi2, n_edges, reads_in_component, n_umi, n_antibodies, isotype_fraction per component."""
     keys = keys_of(edges)
-    base = edges.groupBy(*keys).agg(
-        F.countDistinct("umi1").alias("n_umi1"), F.countDistinct("umi2").alias("n_umi2"), F.count("*").alias("n_edges"), F.sum("read_count").alias("reads_in_component")
-    )
+    base = side_totals(edges).withColumnRenamed("n_reads", "reads_in_component")
     per_marker = count_matrix(edges).groupBy(*keys).agg(
         F.count_if(F.col("count") > 0).alias("n_antibodies"),
         (F.sum(F.when(F.col("marker").isin(isotypes), F.col("count")).otherwise(0)) / F.sum("count")).alias("isotype_fraction"),

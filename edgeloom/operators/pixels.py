@@ -5,28 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from edgeloom.operators.stored import dealt
+
 
 def components_metrics(edges: DataFrame) -> DataFrame:
     """Fifteen metrics per component, among them means and exact medians over pixels."""
     base = edges.groupBy("component").agg(
-        F.countDistinct("upia").alias("a_pixels"),
-        F.countDistinct("upib").alias("b_pixels"),
         F.countDistinct("marker").alias("antibodies"),
         F.count("*").alias("molecules"),
         F.sum("count").alias("reads"),
         F.avg("count").alias("mean_reads_per_molecule"),
         F.median("count").alias("median_reads_per_molecule"),
     )
-    a = edges.groupBy("component", "upia").agg(F.countDistinct("upib").alias("partners"), F.count("umi").alias("molecules"))
+    a = dealt(edges.select("component", "upia", "upib", "umi"), "upia", like=edges).groupBy("component", "upia").agg(F.countDistinct("upib").alias("partners"), F.count("umi").alias("molecules"))
     a = a.groupBy("component").agg(
+        F.count("upia").alias("a_pixels"),
         F.avg("partners").alias("mean_b_pixels_per_a_pixel"),
         F.median("partners").alias("median_b_pixels_per_a_pixel"),
         F.avg("molecules").alias("mean_molecules_per_a_pixel"),
         F.median("molecules").alias("median_molecules_per_a_pixel"),
     )
-    b = edges.groupBy("component", "upib").agg(F.countDistinct("upia").alias("partners"))
-    b = b.groupBy("component").agg(F.avg("partners").alias("mean_a_pixels_per_b_pixel"), F.median("partners").alias("median_a_pixels_per_b_pixel"))
+    b = dealt(edges.select("component", "upia", "upib"), "upib", like=edges).groupBy("component", "upib").agg(F.countDistinct("upia").alias("partners"))
+    b = b.groupBy("component").agg(F.count("upib").alias("b_pixels"), F.avg("partners").alias("mean_a_pixels_per_b_pixel"), F.median("partners").alias("median_a_pixels_per_b_pixel"))
+    first = ["a_pixels", "b_pixels"]
     joined = base.join(a, "component").join(b, "component")
+    joined = joined.select("component", *first, *[c for c in joined.columns if c not in ("component", *first)])
     return joined.withColumn("pixels", F.col("a_pixels") + F.col("b_pixels")).withColumn("a_pixel_b_pixel_ratio", F.col("a_pixels") / F.col("b_pixels"))
 
 

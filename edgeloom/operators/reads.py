@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from edgeloom.functions.scalar import count_base, hamming_text, low_complexity
 from edgeloom.operators.graph import connected_components, cut_lineage
+from edgeloom.operators.stored import dealt
 
 
 def too_many_n(sequence: Column, most: float, uei: tuple[int, int] | None = None, drop_last: bool = False) -> Column:
@@ -144,7 +145,8 @@ def combine_collapsed(first: DataFrame, second: DataFrame) -> DataFrame:
     second: the same keys with corrected_umi2. Repeated keys are paired by number.
     """
     keys = ["marker_1", "marker_2", "original_umi1", "original_umi2", "uei"]
-    numbered = lambda df: df.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy("read_count")))
+    at = F.row_number().over(Window.partitionBy(*keys).orderBy("read_count"))
+    numbered = lambda df: dealt(dealt(df, *keys, like=first).withColumn("_at", at), *keys, "_at", like=first)
     both = numbered(first).join(numbered(second).drop("read_count"), [*keys, "_at"])
     fixed = (F.col("corrected_umi1") != F.col("original_umi1")) | (F.col("corrected_umi2") != F.col("original_umi2"))
     return both.groupBy("marker_1", "marker_2", F.col("corrected_umi1").alias("umi1"), F.col("corrected_umi2").alias("umi2")).agg(

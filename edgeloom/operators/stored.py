@@ -34,6 +34,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return out.hint("merge") if out.count() > BROADCAST_ROWS else out
 
 
+def dealt(df: DataFrame, *columns: str, like: DataFrame | None = None) -> DataFrame:
+    """df by hash of the columns, as finely as its own files (or those of ``like``) call for: a task's
+    share stays the same while the input grows, and grouping by the columns needs no more shuffle."""
+    return df.repartition(slices(df if like is None else like), *columns)
+
+
 def slices(df: DataFrame) -> int:
     """Partitions for a shuffle of df's rows, in proportion to the files it reads."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from edgeloom.functions import scalar
 from edgeloom.functions.scalar import ERFC
 from edgeloom.operators import denoise, edges, graph, matrix, proximity, reads, sampling, spatial, stats
+from edgeloom.operators.stored import dealt
 from edgeloom.plans.proxy import EDGELIST_SQL, PIXEL_SQL, RAW_SQL, edgelist, pixel_edgelist, raw_edgelist, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -613,7 +614,7 @@ COMBINED = "SELECT l_orderkey % 5 AS g, l_orderkey AS o1, l_partkey AS o2, l_sup
 def combine_collapse(spark, sf_dir):
     t = table(spark, sf_dir, "lineitem")
     keys = {"marker_1": F.concat(F.lit("M"), (F.col("l_orderkey") % 5).cast("string")), "marker_2": F.concat(F.lit("M"), (F.col("l_partkey") % 4).cast("string")), "original_umi1": F.col("l_orderkey"), "original_umi2": F.col("l_partkey"), "uei": F.col("l_suppkey")}
-    base = t.groupBy(*[c.alias(n) for n, c in keys.items()]).agg(F.sum(F.col("l_quantity").cast("long")).alias("read_count"))
+    base = dealt(t, "l_orderkey").groupBy(*[c.alias(n) for n, c in keys.items()]).agg(F.sum(F.col("l_quantity").cast("long")).alias("read_count"))
     first = base.withColumn("corrected_umi1", F.floor(F.col("original_umi1") / 3).cast("long") * 3)
     second = base.withColumn("corrected_umi2", F.floor(F.col("original_umi2") / 2).cast("long") * 2)
     return reads.combine_collapsed(first, second)

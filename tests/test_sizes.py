@@ -54,3 +54,29 @@ def test_layout_by_blocks_is_the_layout_at_once(monkeypatch):
     parts = graph.pivot_coordinates(n, i, j, 30, 3, 1)
     assert np.allclose(np.abs(once), np.abs(parts))  # a direction's sign is open
 
+
+
+def test_wide_steps_build_no_map_of_distinct_values(spark):
+    """Counts of distinct molecules expand no rows, and edge joins are cut by the size of the input."""
+    from edgeloom.operators import edges, matrix, pixels
+    from edgeloom.operators.stored import dealt, slices
+
+    e = spark.createDataFrame([("s", "c", 2, 1, "a", "b", 1, 1), ("s", "c", 2, 3, "a", "b", 5, 1)], "sample string, component string, umi1 long, umi2 long, marker_1 string, marker_2 string, read_count long, uei_count long")
+    old = e.select("component", e.umi1.alias("upia"), e.umi2.alias("upib"), e.uei_count.alias("umi"), e.marker_1.alias("marker"), e.read_count.alias("count"))
+    for df in (edges.component_sizes(e), matrix.component_metrics(e, ["a"]), pixels.components_metrics(old)):
+        assert "Expand" not in _plan(df)
+    assert edges.component_sizes(e).collect() == [("s", "c", 3, 2)]
+    assert matrix.component_metrics(e, ["a"]).select("n_umi1", "n_umi2", "n_edges", "reads_in_component").collect() == [(1, 2, 2, 6)]
+    stored = cut_lineage(spark.range(10))
+    assert dealt(stored, "id").rdd.getNumPartitions() == slices(stored)
+
+
+def test_lists_of_neighbours_reach_as_far_as_hops(spark):
+    """A path of five nodes: nodes within k hops, in all and without component keys."""
+    from edgeloom.operators import spatial
+
+    rows = [("c", a, b, "x", "y") for a, b in ((2, 1), (2, 3), (4, 3), (4, 5), (4, 5))]
+    e = spark.createDataFrame(rows, "component string, umi1 long, umi2 long, marker_1 string, marker_2 string")
+    for k, want in ((0, 5), (1, 13), (2, 19), (3, 23), (4, 25)):
+        for df in (e, e.drop("component")):
+            assert sum(r["value"] for r in spatial.hop_counts(df, k).collect()) == want
