@@ -80,3 +80,18 @@ def test_lists_of_neighbours_reach_as_far_as_hops(spark):
     for k, want in ((0, 5), (1, 13), (2, 19), (3, 23), (4, 25)):
         for df in (e, e.drop("component")):
             assert sum(r["value"] for r in spatial.hop_counts(df, k).collect()) == want
+
+
+def test_edge_lists_meet_in_parts_of_their_size(spark, monkeypatch):
+    """Joins under an edge list are cut by the files read, and a table larger than a part is not broadcast."""
+    from edgeloom.operators import stored
+    from edgeloom.plans.proxy import edgelist, table
+
+    folder, key = "/root/testdata/sf0.01", ["umi1", "umi2", "read_count", "uei_count"]
+    whole = sorted(edgelist(spark, folder).select(*key).collect())
+    monkeypatch.setattr(stored, "SLICE_BYTES", 20_000)
+    e = edgelist(spark, folder)
+    n = stored.slices(table(spark, folder, "lineitem"))
+    assert n > 12 and e.rdd.getNumPartitions() == n
+    assert _plan(e).count("SortMergeJoin") == 2
+    assert sorted(e.select(*key).collect()) == whole
