@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgeloom.operators.stored import dealt
+from edgeloom.operators.stored import dealt, finely
 
 CELL = ["sample", "component"]
 
@@ -163,16 +163,19 @@ def crossing_edges(edges: DataFrame, communities: DataFrame) -> DataFrame:
 def community_pairs(edges: DataFrame, communities: DataFrame, least: int | None, share: float | None, strict: bool = False) -> DataFrame:
     """Pairs of communities with many crossing edges: at least (or more than) the larger
     of ``least`` and ``share`` of the smaller community. Without limits, none."""
-    crossing = crossing_edges(edges, communities).where("crossing")
-    pairs = crossing.groupBy(F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b")).agg(F.count("*").alias("n_crossing"))
+    crossing = crossing_edges(edges, communities).where("crossing").select(F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b"))
+    pairs = dealt(crossing, "a", "b", like=edges).groupBy("a", "b").agg(F.count("*").alias("n_crossing"))
     if least is None and share is None:
         return pairs.limit(0)
+    reaches = lambda limit: F.col("n_crossing") > limit if strict else F.col("n_crossing") >= limit
+    pairs = pairs.where(reaches(F.lit(float(least or 0))))
+    if not share:
+        return pairs
     sizes = communities.groupBy("community").agg(F.count("*").alias("size"))
-    pairs = pairs.join(sizes.select(F.col("community").alias("a"), F.col("size").alias("size_a")), "a")
-    pairs = pairs.join(sizes.select(F.col("community").alias("b"), F.col("size").alias("size_b")), "b")
-    limit = F.greatest(F.lit(float(least or 0)), F.lit(float(share or 0)) * F.least("size_a", "size_b"))
-    keep = F.col("n_crossing") > limit if strict else F.col("n_crossing") >= limit
-    return pairs.where(keep).select("a", "b", "n_crossing")
+    for end in "ab":
+        of = sizes.select(F.col("community").alias(end), F.col("size").alias(f"size_{end}"))
+        pairs = finely(pairs, end, like=edges).join(finely(of, end, like=edges), end)
+    return pairs.where(reaches(F.lit(float(share)) * F.least("size_a", "size_b"))).select("a", "b", "n_crossing")
 
 
 def normalize_edgelist(edges: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from edgeloom.operators.edges import crossing_edges, endpoints, keys_of, nodes
 from edgeloom.operators.groups import Component, distinct_pairs, per_component
 from edgeloom.operators.spatial import links
-from edgeloom.operators.stored import cut_lineage, shared_folder  # noqa: F401  catalog takes the folder from here
+from edgeloom.operators.stored import BROADCAST_ROWS, cut_lineage, finely, shared_folder  # noqa: F401  catalog takes the folder from here
 
 
 def connected_components(pairs: DataFrame) -> DataFrame:
@@ -27,12 +27,15 @@ def connected_components(pairs: DataFrame) -> DataFrame:
     Labels spread as minima over neighbours, then each node takes its label's
     label, which halves paths; both repeat until nothing changes.
     """
-    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = cut_lineage(both)
-    labels = cut_lineage(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("l")).withColumnRenamed("a", "node"))
+    pairs = cut_lineage(pairs.select("a", "b"))
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = cut_lineage(finely(both, "a", "b").distinct())
+    deal = lambda df, column: finely(df, column, like=both)
+    labels = cut_lineage(deal(both, "a").groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("l")).withColumnRenamed("a", "node"))
     while True:
-        heard = both.join(labels.select(F.col("node").alias("b"), "l"), "b").groupBy("a").agg(F.min("l").alias("h"))
-        near = labels.join(heard.withColumnRenamed("a", "node"), "node").select("node", "l", F.least("l", "h").alias("n"))
+        told = deal(both, "b").join(deal(labels.select(F.col("node").alias("b"), "l"), "b"), "b").select("a", "l")
+        heard = deal(told, "a").groupBy("a").agg(F.min("l").alias("h"))
+        near = deal(labels, "node").join(heard.withColumnRenamed("a", "node"), "node").select("node", "l", F.least("l", "h").alias("n"))
         jump = near.join(labels.select(F.col("node").alias("n"), F.col("l").alias("far")), "n").select("node", "l", F.least("n", "far").alias("n"))
         new = cut_lineage(jump)
         changed = new.where("l <> n").limit(1).count()
@@ -118,6 +121,8 @@ def merge_communities(edges: DataFrame, communities: DataFrame, least: int | Non
 
     pairs = community_pairs(edges, communities, least, share, strict).select("a", "b")
     merged = connected_components(pairs).select(F.col("node").alias("community"), F.col("component").alias("merged"))
+    if merged.count() > BROADCAST_ROWS:
+        communities, merged = (finely(df, "community", like=edges) for df in (communities, merged))
     return communities.join(merged, "community", "left").select("umi", F.coalesce("merged", "community").alias("community"))
 
 

@@ -95,3 +95,29 @@ def test_edge_lists_meet_in_parts_of_their_size(spark, monkeypatch):
     assert n > 12 and e.rdd.getNumPartitions() == n
     assert _plan(e).count("SortMergeJoin") == 2
     assert sorted(e.select(*key).collect()) == whole
+
+
+def _unsized(df) -> list[str]:
+    """Shuffles cut by the session's number of partitions: nothing but tables of a row a key or a partition may go through one."""
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning" in line and "ENSURE_REQUIREMENTS" in line]
+
+
+def _edges(spark, rows):
+    return cut_lineage(spark.createDataFrame(rows, "umi1 long, umi2 long"))
+
+
+def test_pairs_of_communities_are_counted_in_parts_of_the_input(spark, monkeypatch):
+    from edgeloom.operators import edges, graph, stored
+
+    e = _edges(spark, [(1, 20), (1, 21), (2, 20), (3, 30), (30, 41), (31, 40), (2, 3)])
+    of = edges.endpoints(e).selectExpr("umi", "umi div 10 AS community")
+    assert not _unsized(edges.community_pairs(e, of, 2, None))
+    assert sorted(edges.community_pairs(e, of, 2, None).collect()) == [(0, 2, 3), (3, 4, 2)]
+    assert sorted(edges.community_pairs(e, of, 2, None, strict=True).collect()) == [(0, 2, 3)]
+    assert sorted(edges.community_pairs(e, of, 1, 1.0).collect()) == [(0, 2, 3), (3, 4, 2)]
+    whole = sorted(graph.merge_communities(e, of, 2).collect())
+    assert whole == [(1, 0), (2, 0), (3, 0), (20, 0), (21, 0), (30, 3), (31, 3), (40, 3), (41, 3)]
+    monkeypatch.setattr(stored, "SLICE_BYTES", 600)
+    monkeypatch.setattr(graph, "BROADCAST_ROWS", 1)
+    assert not _unsized(graph.merge_communities(e, of, 2))
+    assert sorted(graph.merge_communities(e, of, 2).collect()) == whole
