@@ -149,11 +149,11 @@ def combine_collapsed(first: DataFrame, second: DataFrame) -> DataFrame:
     numbered = lambda df: dealt(dealt(df, *keys, like=first).withColumn("_at", at), *keys, "_at", like=first)
     both = numbered(first).join(numbered(second).drop("read_count"), [*keys, "_at"])
     fixed = (F.col("corrected_umi1") != F.col("original_umi1")) | (F.col("corrected_umi2") != F.col("original_umi2"))
-    return both.groupBy("marker_1", "marker_2", F.col("corrected_umi1").alias("umi1"), F.col("corrected_umi2").alias("umi2")).agg(
-        F.sum("read_count").alias("read_count"),
-        F.countDistinct("uei").alias("uei_count"),
-        F.coalesce(F.sum(F.when(fixed, F.col("read_count"))), F.lit(0)).alias("corrected_read_count"),
-    )
+    edge = ["marker_1", "marker_2", "umi1", "umi2"]
+    rows = both.select("marker_1", "marker_2", F.col("corrected_umi1").alias("umi1"), F.col("corrected_umi2").alias("umi2"), "uei", "read_count", F.when(fixed, F.col("read_count")).alias("fixed"))
+    # One shuffle by the ends; the molecules of an edge are made one and then counted where they lie.
+    per = dealt(rows, "umi1", "umi2", like=first).groupBy(*edge, "uei").agg(F.sum("read_count").alias("n"), F.sum("fixed").alias("fixed"))
+    return per.groupBy(*edge).agg(F.sum("n").alias("read_count"), F.count("uei").alias("uei_count"), F.coalesce(F.sum("fixed"), F.lit(0)).alias("corrected_read_count"))
 
 
 def most_common(df: DataFrame, by: list[str], column: str) -> DataFrame:

@@ -119,5 +119,17 @@ def test_pairs_of_communities_are_counted_in_parts_of_the_input(spark, monkeypat
     assert whole == [(1, 0), (2, 0), (3, 0), (20, 0), (21, 0), (30, 3), (31, 3), (40, 3), (41, 3)]
     monkeypatch.setattr(stored, "SLICE_BYTES", 600)
     monkeypatch.setattr(graph, "BROADCAST_ROWS", 1)
-    assert not _unsized(graph.merge_communities(e, of, 2))
-    assert sorted(graph.merge_communities(e, of, 2).collect()) == whole
+    merged = graph.merge_communities(e, of, 2)
+    assert not _unsized(merged) and sorted(merged.collect()) == whole
+
+
+def test_sides_are_combined_in_parts_of_the_input(spark):
+    from edgeloom.operators import reads
+
+    keys = "marker_1 string, marker_2 string, original_umi1 long, original_umi2 long, uei long"
+    base = [("a", "b", 1, 2, 7), ("a", "b", 1, 2, 8), ("a", "b", 3, 2, 7), ("a", "b", 5, 6, None)]
+    first = cut_lineage(spark.createDataFrame([(*k, n, 1) for n, k in enumerate(base, 1)], f"{keys}, read_count long, corrected_umi1 long"))
+    second = cut_lineage(spark.createDataFrame([(*k, 1, k[3]) for k in base], f"{keys}, read_count long, corrected_umi2 long"))
+    got = reads.combine_collapsed(first, second)
+    assert not _unsized(got)
+    assert got.collect() == [("a", "b", 1, 2, 6, 2, 3)]
