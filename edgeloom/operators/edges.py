@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgeloom.operators.stored import dealt, finely
+from edgeloom.operators.stored import dealt, finely, slices
 
 CELL = ["sample", "component"]
 
@@ -124,16 +124,17 @@ def size_knee(sizes: DataFrame, floor: int = 8000) -> int:
 def dense_ids(edges: DataFrame) -> DataFrame:
     """(umi, node): identifiers numbered from 0 in order.
 
-    A range partitioning by umi, then a number within the partition plus the
-    partitions before it: no single task sees all identifiers.
+    A range partitioning by umi, cut by the size of the input, then a number within the
+    partition plus the partitions before it: no single task sees all identifiers.
     """
-    placed = endpoints(edges).repartitionByRange("umi").withColumn("part", F.spark_partition_id())
-    placed = placed.withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy("umi")))
+    spread = endpoints(edges).repartitionByRange(slices(edges), "umi")
+    placed = spread.sortWithinPartitions("umi").withColumn("at", F.monotonically_increasing_id())  # partition << 33 | row
+    placed = placed.select("umi", F.shiftright("at", 33).cast("int").alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
     # Numbered from the values' own ranges, so a repeated run gives the same ids.
-    heads = placed.groupBy("part").agg(F.count("*").alias("n"), F.min("umi").alias("low"))
+    heads = spread.withColumn("part", F.spark_partition_id()).groupBy("part").agg(F.count("*").alias("n"), F.min("umi").alias("low"))
     before = F.sum("n").over(Window.orderBy("low").rowsBetween(Window.unboundedPreceding, -1))
     heads = heads.select("part", F.coalesce(before, F.lit(0)).alias("head"))
-    return placed.join(heads, "part").select("umi", (F.col("head") + F.col("at") - 1).alias("node"))
+    return placed.join(F.broadcast(heads), "part").select("umi", (F.col("head") + F.col("at")).alias("node"))  # a row a partition
 
 
 def _both_ends(edges: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:

@@ -133,3 +133,15 @@ def test_sides_are_combined_in_parts_of_the_input(spark):
     got = reads.combine_collapsed(first, second)
     assert not _unsized(got)
     assert got.collect() == [("a", "b", 1, 2, 6, 2, 3)]
+
+
+def test_identifiers_are_numbered_in_parts_of_the_input(spark, monkeypatch):
+    from edgeloom.operators import edges, stored
+
+    e = _edges(spark, [(k * 7 % 101, 200 + k * 5 % 97) for k in range(300)])
+    monkeypatch.setattr(stored, "SLICE_BYTES", 600)
+    ids = edges.dense_ids(e)
+    assert stored.slices(e) > 4
+    assert [line for line in _unsized(ids) if "part" not in line] == []
+    assert ids.rdd.getNumPartitions() == stored.slices(e)
+    assert sorted(ids.collect()) == [(u, n) for n, u in enumerate(sorted({*range(101), *range(200, 297)}))]
