@@ -9,6 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 BROADCAST_ROWS = 200_000  # a stored table of more rows is never sent whole to the driver
 SLICE_BYTES = 4 << 20  # of input files to a partition of a wide shuffle
+SPLIT_BYTES = 16 << 20  # of a file to a scan task whose rows go to many partitions
+
+
+def scanning(spark: SparkSession, rows: DataFrame) -> SparkSession:
+    """The session to read in, where the files of ``rows`` are dealt.
+
+    To more partitions than spark.shuffle.sort.bypassMergeThreshold a scan task holds all it sends, up to
+    128 MB of a file; then a copy of the session reads smaller splits, and the one given stays as it is.
+    """
+    if slices(rows) <= int(spark.sparkContext.getConf().get("spark.shuffle.sort.bypassMergeThreshold", "200")):
+        return spark
+    copy = spark._jsparkSession.cloneSession()
+    least = min(SPLIT_BYTES, copy.sessionState().conf().filesMaxPartitionBytes())
+    copy.conf().set("spark.sql.files.maxPartitionBytes", f"{least}b")
+    return SparkSession(spark.sparkContext, copy)
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgeloom.operators.stored import finely, outgrows
+from edgeloom.operators.stored import finely, outgrows, scanning
 
 EDGELIST_SQL = """
 edgelist AS (
@@ -51,6 +51,7 @@ def _located(spark: SparkSession, sf_dir: str) -> DataFrame:
     The larger tables meet in as many parts as their files call for, so that a task's share of
     the joins stays the same while they grow.
     """
+    spark = scanning(spark, table(spark, sf_dir, "lineitem"))
     t = lambda n: table(spark, sf_dir, n)
     places = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
     buyers = t("customer").select("c_custkey", "c_nationkey").join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey"))

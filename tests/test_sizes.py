@@ -97,6 +97,27 @@ def test_edge_lists_meet_in_parts_of_their_size(spark, monkeypatch):
     assert sorted(e.select(*key).collect()) == whole
 
 
+def test_scans_dealt_widely_are_read_in_small_splits(spark, monkeypatch):
+    """A scan task that sends its rows to over 200 partitions holds them: its share of a file is small, and the session is left alone."""
+    from edgeloom.operators import edges, stored
+    from edgeloom.plans.proxy import edgelist
+
+    def scanned(df) -> int:
+        leaves = df._jdf.queryExecution().sparkPlan().collectLeaves()
+        return max(leaves.apply(i).inputRDD().getNumPartitions() for i in range(leaves.size()))
+
+    folder, key = "/root/testdata/sf0.01", "spark.sql.files.maxPartitionBytes"
+    kept = lambda: edges.filter_by_size(edgelist(spark, folder), 1000, 2200, inclusive=False)
+    usual, before = spark.conf.get(key), sorted(kept().collect())
+    assert kept().sparkSession is spark and len(before) == 51_153
+    monkeypatch.setattr(stored, "SLICE_BYTES", 4_000)
+    monkeypatch.setattr(stored, "SPLIT_BYTES", 200_000, raising=False)
+    df = kept()
+    assert scanned(df) >= 5
+    assert sorted(df.collect()) == before
+    assert spark.conf.get(key) == usual and df.sparkSession.conf.get("spark.sql.shuffle.partitions") == "4"
+
+
 def _unsized(df) -> list[str]:
     """Shuffles cut by the session's number of partitions: nothing but tables of a row a key or a partition may go through one."""
     return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning" in line and "ENSURE_REQUIREMENTS" in line]
